@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, components, lookalikes, plainform
+from ledgerloom.llm import bpe, components, copies, lookalikes, neardup, plainform
 from ledgerloom.operators.scratch import Scratch
 from ledgerloom.sources.tables import read_table
 
@@ -23,6 +23,14 @@ def p1_plain(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.plain_values(ledger, ("captured_text", "excerpt", "url"), scores)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_records(read_table(spark, folder, "source_ledger"), Scratch(spark))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.formatting_copies(read_table(spark, folder, "source_ledger"), Scratch(spark))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.ledger_groups(read_table(spark, folder, "source_ledger"), Scratch(spark))
 
@@ -31,7 +39,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"), RANK_FILE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
 SQL = {
     "p5_found": r"""
 WITH RECURSIVE named AS (
