@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, components, copies, lookalikes, neardup, plainform
+from ledgerloom.llm import bpe, components, copies, lookalikes, neardup, personal, plainform
 from ledgerloom.operators.scratch import Scratch
 from ledgerloom.sources.tables import read_table
 
@@ -35,11 +35,24 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.ledger_groups(read_table(spark, folder, "source_ledger"), Scratch(spark))
 
 
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = read_table(spark, folder, "source_ledger")
+    return personal.personal_items(ledger, read_table(spark, folder, "given_names"), Scratch(spark), scores=plainform.learn_script_scores(ledger, "captured_text"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _items(spark, folder).select("id", "field", "kind", "start_at")
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redacted(read_table(spark, folder, "source_ledger"), _items(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"), RANK_FILE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids}
 SQL = {
     "p5_found": r"""
 WITH RECURSIVE named AS (
