@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, components, copies, lookalikes, neardup, personal, plainform
+from ledgerloom.llm import bpe, components, copies, lookalikes, neardup, packing, personal, plainform, sentences
 from ledgerloom.operators.scratch import Scratch
 from ledgerloom.sources.tables import read_table
 
@@ -52,7 +52,20 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"), RANK_FILE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids}
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "pack_budget"), RANK_FILE, Scratch(spark))
+
+
+def p8_use(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.container_use(p8_packed(spark, folder), read_table(spark, folder, "pack_budget"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return sentences.sentence_units(docs, sentences.learn_events(docs))
+
+
+QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_use": p8_use, "p9_found": p9_found}
 SQL = {
     "p5_found": r"""
 WITH RECURSIVE named AS (
