@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space at the ends of ids, beyond ASCII as well.
-_EDGES = r"^[\s\p{Z}​﻿]+|[\s\p{Z}​﻿]+$"
+_EDGES = r"^[\s\p{Z}\u200b\ufeff]+|[\s\p{Z}\u200b\ufeff]+$"
 
 
 def match_key(value: Column) -> Column:
