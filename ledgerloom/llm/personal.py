@@ -31,11 +31,9 @@ _AT = r"(?:@|\s{0,3}[\[({]\s?at\s?[\])}]\s{0,3}|\s{1,3}at\s{1,3})"
 _LOCAL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_][A-Za-z0-9._%+\-]*"
 #: Written with signs, or with the words at and dot.
 _EMAIL = re.compile(rf"{_LOCAL}(?:@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}|{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
-_SPELLED = re.compile(r"\bdot\b", re.I)
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_\-./:+])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Za-z](?![A-Za-z0-9])|\+?\(?\d+(?:\)?[\s.\-/]{1,3}\(?\d+|\)\d+|/\d+)+(?:[\s\-]{0,2}[A-Za-z](?![A-Za-z0-9]))?|\d{6,})(?![A-Za-z0-9_])")
 _GIVEN_FAMILY = re.compile(rf"(?<![{_L}\-])(?=([{_UP}][{_L}'’]+(?:-[{_UP}][{_L}]+)?)\s{{1,3}}(?:[{_UP}]\.\s{{0,3}})?([{_UP}][{_L}'’]+(?:-[{_UP}][{_L}]+)?))")
 _GIVEN_FAMILY_FLAT = re.compile(rf"(?<![{_L}\-])(?=([{_L}][{_L}'’]+(?:-[{_L}]+)?)\s{{1,3}}(?:[{_L}]\.\s{{0,3}})?([{_L}][{_L}'’]+(?:-[{_L}]+)?))")
-_FAMILY_GIVEN = re.compile(rf"(?<![{_L}\-])(?=([{_L}][{_L}'’]+(?:-[{_L}]+)?)\s?[,;]\s{{1,3}}([{_L}][{_L}'’]+))")
 _LOWER = re.compile("[a-zà-öø-ÿ]")
 _UPPER = re.compile(f"[{_UP}]")
 # Words that make a street or a post box, by language.
@@ -45,20 +43,27 @@ _WAYS_ES = "Calle|C/|Avenida|Avda\\.|Av\\.|Plaza|Paseo|Camino|Ronda"
 _WAYS_FR = "rue|avenue|impasse|boulevard|place|chemin|allée|quai|cours"
 _BOXES = "P\\.?\\s?O\\.?\\s?Box|PO Box|Postfach|Apartado(?: de correos)?|B\\.?P\\.?|а/я"
 _STEM = rf"[{_L}][{_L}'’]+(?:-[{_L}]+)?"
-_STREETS = [
-    re.compile(rf"(?<![\w.\-/])(?:(?:Flat|Unit|Apt|Suite)\.?\s{{1,3}}\d+[A-Za-z]?,?\s{{1,3}})?\d+[A-Za-z]?\s{{1,3}}({_STEM})\s{{1,3}}(?:{_WAYS_EN})(?![{_L}])\.?", re.I),
-    re.compile(rf"(?<![{_L}\-])((?:{_STEM}?)(?:{_WAYS_DE}))\s{{1,3}}\d+\s?[a-z]?(?![\w])", re.I),
-    re.compile(rf"(?<![{_L}\-])(?:Am|An der|Im|Zum|Zur)\s{{1,3}}({_STEM})\s{{1,3}}\d+\s?[a-z]?,\s{{1,3}}\d{{5}}\s", re.I),
-    re.compile(rf"(?<![{_L}\-])(?:{_WAYS_ES})\s{{0,3}}(?:de\s{{1,3}}(?:la\s{{1,3}})?)?({_STEM})\s?,?\s{{1,3}}\d+", re.I),
-    re.compile(rf"(?<![\w.\-/])\d+(?:\s(?:bis|ter))?,?\s{{1,3}}(?:{_WAYS_FR})\s{{1,3}}(?:(?:de|du|des)\s{{1,3}}(?:la\s{{1,3}})?)?({_STEM})", re.I),
-    re.compile(r"(?<![\w])(?:ул\.|улица|пр\.|проспект|пер\.)\s{1,3}([А-ЯЁ][А-Яа-яё\-]+),?\s{1,3}(?:д\.\s?)?\d+", re.I),
+#: An item of this kind has a number; the text behind the number, or before it, makes it an address.
+_HOUSE = re.compile(r"(?<![\w.\-/])\d+")
+_BEHIND = [
+    re.compile(rf"\d+[A-Za-z]?\s{{1,3}}({_STEM})\s{{1,3}}(?:{_WAYS_EN})(?![{_L}])\.?", re.I),
+    re.compile(rf"\d+(?:\s(?:bis|ter))?,?\s{{1,3}}(?:{_WAYS_FR})\s{{1,3}}(?:(?:de|du|des)\s{{1,3}}(?:la\s{{1,3}})?)?({_STEM})", re.I),
 ]
-_STREET_HINT = re.compile(rf"\b(?:{_WAYS_EN})\b|(?:{_WAYS_DE})\s|\bAm\s|(?:{_WAYS_ES})|\b(?:{_WAYS_FR})\b|ул", re.I)
-_BOX = re.compile(rf"(?<![{_L}])(?:{_BOXES})\s{{0,3}}\d+(?!\d)", re.I)
+_FLAT = re.compile(r"(?:Flat|Unit|Apt|Suite)\.?\s{1,3}\d+[A-Za-z]?,?\s{1,3}$", re.I)
+#: (what the text before must hold, pattern up to the number, pattern from the number)
+_BEFORE = [
+    (tuple("straße strasse str. weg gasse platz allee ring damm ufer".split()), re.compile(rf"(?<![{_L}\-])((?:{_STEM}?)(?:{_WAYS_DE}))\s{{1,3}}$", re.I), re.compile(r"\d+\s?(?:[a-z](?!\w))?", re.I)),
+    (("am ", "an der", "im ", "zum ", "zur "), re.compile(rf"(?<![{_L}\-])(?:Am|An der|Im|Zum|Zur)\s{{1,3}}({_STEM})\s{{1,3}}$", re.I), re.compile(r"\d+\s?[a-z]?,\s{1,3}\d{5}\s", re.I)),
+    (("calle", "c/", "av", "plaza", "paseo", "camino", "ronda"), re.compile(rf"(?<![{_L}\-])(?:{_WAYS_ES})\s{{0,3}}(?:de\s{{1,3}}(?:la\s{{1,3}})?)?({_STEM})\s?,?\s{{1,3}}$", re.I), re.compile(r"\d+")),
+    (("ул", "пр", "пер."), re.compile(r"(?<!\w)(?:ул\.|улица|пр\.|проспект|пер\.)\s{1,3}([А-ЯЁа-яё\-]+),?\s{1,3}(?:д\.\s?)?$", re.I), re.compile(r"\d+")),
+    (("box", "postfach", "apartado", "p.", "bp", "а/я"), re.compile(rf"(?<![{_L}])(?:{_BOXES})\s{{0,3}}()$", re.I), re.compile(r"\d+")),
+]
+_COMMA = re.compile(rf"[,;]\s{{1,3}}([{_L}][{_L}'’]+)")
+_FAMILY = re.compile(rf"(?<![{_L}\-])([{_L}][{_L}'’]+(?:-[{_L}]+)?)\s?$")
 # Forms of numbers that are unmistakable, digits as 0 and letters as A.
 SURE_FORMS = {"phone": [r"\+.*", r"\(000\) 000-0000"], "id_number": ["AA ?00 ?00 ?00 ?A", "000-00-0000", r"00\.000\.000-A", "0 00 00 00 000 000 00"]}
 _WORDS = re.compile(r"[^\W\d_]+")
-_CJK = re.compile("[぀-ヿ㐀-鿿]")
+_CJK = re.compile("[\u3040-ヿ㐀-鿿]")
 
 
 def number_form(text: str) -> str:
@@ -75,27 +80,40 @@ def _announced(text: str, at: int) -> tuple[str, str]:
     return last, f"{words[-2][-12:]} {last}" if len(words) > 1 else last
 
 
+def _addresses_at(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, street) of what is written like an address around a number."""
+    for m in _HOUSE.finditer(text):
+        at = m.start()
+        for pattern in _BEHIND:
+            if found := pattern.match(text, at):
+                flat = _FLAT.search(text, max(0, at - 16), at)
+                yield flat.start() if flat else at, found.end(), found[1]
+        window = text[max(0, at - 48) : at]
+        low = window.lower()
+        for hints, before, behind in _BEFORE:
+            if any(h in low for h in hints) and (head := before.search(window)) and (tail := behind.match(text, at)):
+                yield at - len(window) + head.start(), tail.end(), head[1]
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, bool]]:
     """(kind, start, end, term, other term, surely) of what could be an item in a plain text."""
-    if "@" in text or _SPELLED.search(text):
+    if "@" in text or "dot" in text or "DOT" in text or "Dot" in text:
         for m in _EMAIL.finditer(text):
             yield "email", m.start(), m.end(), "", "", True
     for m in _NUMBER.finditer(text):
         if sum(map(str.isdigit, m.group())) >= 6:
             yield ("number", m.start(), m.end(), number_form(m.group()), "\n".join(_announced(text, m.start())), True)
-    if _STREET_HINT.search(text):
-        for pattern in _STREETS:
-            for m in pattern.finditer(text):
-                yield "address", m.start(), m.end(), m[1].lower(), "", m[1][0].isupper()
-    for m in _BOX.finditer(text):
-        yield "address", m.start(), m.end(), "", "", True
+    for start, end, street in _addresses_at(text):
+        yield "address", start, end, street.lower(), "", not street or street[0].isupper()
     flat = not _UPPER.search(text) or not _LOWER.search(text)
     for m in (_GIVEN_FAMILY_FLAT if flat else _GIVEN_FAMILY).finditer(text):
         yield "name", m.start(1), m.end(2), m[1].lower(), m[2].lower().split("-")[0], True
     if "," in text or ";" in text:
-        for m in _FAMILY_GIVEN.finditer(text):
-            if flat or (m[1][0].isupper() and m[2][0].isupper()):
-                yield "name", m.start(1), m.end(2), m[2].lower(), m[1].lower().split("-")[0], False
+        for m in _COMMA.finditer(text):
+            if flat or m[1][0].isupper():
+                family = _FAMILY.search(text, max(0, m.start() - 40), m.start())
+                if family and (flat or family[1][0].isupper()):
+                    yield "name", family.start(1), m.end(), m[1].lower(), family[1].lower().split("-")[0], False
 
 
 def scan(rows: DataFrame, fields: tuple[str, ...], scores: ScriptScores = NO_SCORES) -> DataFrame:

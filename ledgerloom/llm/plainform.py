@@ -91,6 +91,11 @@ def _changing() -> re.Pattern:
     return re.compile("[" + "".join(parts) + "]")
 
 
+@lru_cache(maxsize=1)
+def _combining() -> re.Pattern:
+    return re.compile("[" + "".join(chr(cp) for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))) + "]")
+
+
 def _all_letters() -> tuple[dict[str, int], dict[str, dict[int, str]]]:
     """Letter -> script; look-alike class (its Latin letter) -> script -> letter."""
     script, classes = {}, {}
@@ -206,6 +211,16 @@ def plain_with_offsets(text: str, scores: ScriptScores = NO_SCORES) -> tuple[str
     if form == text:
         return text, None
     single = _single()
+    if not _combining().search(text):
+        offsets, at = [], 0
+        for m in _changing().finditer(text):
+            i = m.start()
+            offsets.extend(range(at, i))
+            offsets.extend([i] * len(single.get(ord(m.group()), m.group()) or ""))
+            at = i + 1
+        offsets.extend(range(at, len(text)))
+        if len(offsets) == len(form):
+            return form, offsets
     units: list[tuple[str, int]] = []
     for i, ch in enumerate(text):
         to = single.get(ord(ch), ch)

@@ -30,17 +30,17 @@ SIZE = 1 << 17  # buckets of each table
 _CHUNK = 1 << 11
 TABLES = ("place", "end", "start", "middle")
 
-_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85 ])"
-_BLANK = re.compile(rf"(?:{_BREAK}(?:[^\S\n\r\x0b\x0c\x85  ]*{_BREAK})+| )")
+_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028])"
+_BLANK = re.compile(rf"(?:{_BREAK}(?:[^\S\n\r\x0b\x0c\x85\u2028\u2029]*{_BREAK})+|\u2029)")
 _LINE = re.compile(_BREAK)
 _BULLET = re.compile(r"\s*[-*+•‣◦▪·–—]\s+\S")
 _NUMBERED = re.compile(r"\s*[(]?(\d{1,3}|[a-zA-Z])[.)]\s+\S")
 _HEADING = re.compile(r"\s*#{1,6}\s+\S")
 _MARK = re.compile(r"[.!?…‥。！？।॥؟۔｡．]+(?:\s[!?]+)?")
 _ALWAYS = "!?。！？।॥؟۔｡．"
-_NO_SPACE = re.compile("[぀-ヿ㐀-鿿豈-﫿　-〿＀-￯]")
-_THAI = re.compile(r"[฀-๿]\s+(?=\S)")
-_EMOJI = re.compile(r"(?:\s*[\U0001F000-\U0001FAFF☀-➿⬀-⯿️‍⃣\U000E0020-\U000E007F]+)+")
+_NO_SPACE = re.compile("[\u3040-ヿ㐀-鿿豈-\ufaff\u3000-〿\uff00-\uffef]")
+_THAI = re.compile(r"[\u0e00-\u0e7f]\s+(?=\S)")
+_EMOJI = re.compile(r"(?:\s*[\U0001F000-\U0001FAFF☀-➿⬀-⯿️\u200d⃣\U000E0020-\U000E007F]+)+")
 _BEFORE = re.compile(r"[^\s\"“”„«»「」『』｢｣()（）\[\]¿¡,;:]*$")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"“”„«»「」『』｢｣()（）[]¿¡,;:'’‘"
@@ -192,7 +192,7 @@ def _place(kind: str, one: str, two: str, text: str, at: int) -> Place:
     return Place(kind, f"{kind}1 {one}", f"{kind}2 {two}", after, at, nxt)
 
 
-_THAI_LETTER = re.compile("[฀-๿]")
+_THAI_LETTER = re.compile("[\u0e00-\u0e7f]")
 
 
 def _first(token: str, flat: bool) -> str:
