@@ -103,9 +103,10 @@ def ratio_points(actual: Column, target: Column) -> Column:
 def word_grams(text: Column, size: int) -> Column:
     """The distinct runs of `size` words of a text in lower case, [] for a shorter text."""
     words = F.split(F.lower(collapse_white_space(text)), " ")
-    n = F.size(words) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when((F.coalesce(text, F.lit("")) != "") & (n >= 1), F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # the words go through a lambda of their own: a lambda evaluates what it takes from outside anew for each element
+    runs = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " ")))
+    enough = F.coalesce((F.length(collapse_white_space(text)) > 0) & (F.size(words) >= size), F.lit(False))
+    return F.when(enough, F.array_distinct(F.element_at(runs, 1))).otherwise(F.array().cast("array<string>"))
 
 
 def identifier_parts(text: Column) -> Column:
