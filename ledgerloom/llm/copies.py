@@ -145,11 +145,11 @@ def content_keys(rows: DataFrame, text: str = "captured_text", url: str = "url")
 
 
 def _grouped(members: DataFrame, salts: int) -> DataFrame:
-    """(field, keep_id, copy_id) of members (field, id, class)."""
+    """(field, keep_id, copy_id, class, against) of members (field, id, class, against)."""
     groups = members.groupBy("field", "class").agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id <> last")
     groups = groups.select("field", "class", "keep_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return members.join(groups, ["field", "class", "salt"]).where("id <> keep_id").select("field", "keep_id", F.col("id").alias("copy_id"), "class").distinct()
+    return members.join(groups, ["field", "class", "salt"]).where("id <> keep_id").select("field", "keep_id", F.col("id").alias("copy_id"), "class", "against").distinct()
 
 
 def formatting_copies(rows: DataFrame, scratch: Scratch, text: str = "captured_text", url: str = "url", salts: int = 8) -> DataFrame:
@@ -161,11 +161,13 @@ def formatting_copies(rows: DataFrame, scratch: Scratch, text: str = "captured_t
     """
     keys = scratch.save(content_keys(rows, text, url))
     # A text that is no list may have the words of one; it then belongs to that list's class.
-    lists = keys.where(F.col("list_key").isNotNull()).groupBy("field", "key").agg(F.min("list_key").alias("of_list"))
-    members = keys.join(lists, ["field", "key"], "left").select("field", "id", F.when(F.col("of_list").isNotNull(), F.concat(F.lit(b"L"), "of_list")).otherwise(F.concat(F.lit(b"W"), "key")).alias("class"))
+    lists = keys.where(F.col("list_key").isNotNull()).groupBy("field", "key").agg(F.min("list_key").alias("of_list"), F.min("id").alias("list_id"))
+    # Such a text is compared with that list, all others with the record that is kept.
+    against = F.when(F.col("list_key").isNull(), F.col("list_id")).alias("against")
+    members = keys.join(lists, ["field", "key"], "left").select("field", "id", against, F.when(F.col("of_list").isNotNull(), F.concat(F.lit(b"L"), "of_list")).otherwise(F.concat(F.lit(b"W"), "key")).alias("class"))
     pairs = scratch.save(_grouped(members, salts))
     checked = scratch.save(_compare(pairs, rows, text, url, salts))
-    wrong = checked.where(~F.col("same")).select("field", F.col("copy_id").alias("id"), F.concat("class", F.unhex(F.sha2("proof", 256))).alias("class"))
+    wrong = checked.where(~F.col("same")).select("field", F.col("copy_id").alias("id"), F.lit(None).cast("string").alias("against"), F.concat("class", F.unhex(F.sha2("proof", 256))).alias("class"))
     return checked.where("same").select("field", "keep_id", "copy_id").unionByName(_grouped(wrong, 1).select("field", "keep_id", "copy_id"))
 
 
@@ -181,11 +183,12 @@ def _compare(pairs: DataFrame, rows: DataFrame, text: str, url: str, salts: int)
     """pairs with same: whether the two stored values are copies, and proof where not."""
     values = rows.where(F.col("id").isNotNull()).select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in (text, url)))).alias("x")).select("id", "x.field", "x.value").where(F.col("value").isNotNull())
     # the kept records' values serve any number of copies: spread over salts
-    keeps = pairs.select("field", F.col("keep_id").alias("id")).distinct()
+    pairs = pairs.withColumn("other_id", F.coalesce("against", "keep_id"))
+    keeps = pairs.select("field", F.col("other_id").alias("id")).distinct()
     kept = values.join(keeps, ["field", "id"], "left_semi").groupBy("field", "id").agg(F.min("value").alias("keep_value"))
-    kept = kept.select("field", F.col("id").alias("keep_id"), "keep_value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    kept = kept.select("field", F.col("id").alias("other_id"), "keep_value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     copies = values.withColumnRenamed("id", "copy_id").join(pairs, ["field", "copy_id"]).withColumn("salt", F.pmod(F.xxhash64("copy_id"), F.lit(salts)).cast("int"))
-    both = copies.join(kept, ["field", "keep_id", "salt"]).select("field", "keep_id", "copy_id", "class", "keep_value", "value")
+    both = copies.join(kept, ["field", "other_id", "salt"]).select("field", "keep_id", "copy_id", "class", "keep_value", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
