@@ -157,11 +157,11 @@ def _names(found: DataFrame, given_names: DataFrame) -> DataFrame:
     names = found.where("kind = 'name'")
     pairs = names.where("sure").groupBy("term", "other").agg(F.count("*").alias("n"))
     marked = pairs.join(seeds.withColumn("seed", F.lit(True)), "term", "left")
-    families = disclosing_terms(marked, "other", "n", F.col("seed").isNotNull(), 0.2, 1.0)
+    families = disclosing_terms(marked, "other", "n", F.col("seed").isNotNull(), 0.2, -0.5)
     behind = pairs.join(families.withColumn("family", F.lit(True)), "other", "left")
-    givens = disclosing_terms(behind, "term", "n", F.col("family").isNotNull(), 0.5, 1.0).unionByName(seeds).distinct()
+    givens = disclosing_terms(behind, "term", "n", F.col("family").isNotNull(), 0.5, -0.5).unionByName(seeds).distinct()
     again = pairs.join(givens.withColumn("given", F.lit(True)), "term", "left")
-    families = disclosing_terms(again, "other", "n", F.col("given").isNotNull(), 0.5, 1.0)
+    families = disclosing_terms(again, "other", "n", F.col("given").isNotNull(), 0.5, -0.5)
     return names.join(givens, "term").join(families, "other").select("id", "field", F.col("kind"), "start_at", "end_at")
 
 
