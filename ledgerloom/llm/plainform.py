@@ -123,6 +123,7 @@ _DOUBTFUL = re.compile(
 )
 _SURE = {s: re.compile("[" + "".join(c for c, of in SCRIPT.items() if of == s and c not in _CLASS_OF) + "]+") for s in _BLOCKS}
 _CHANGE = -200.0  # log score of a change of script inside a token
+_OUT = -1000  # of a script that can't be meant
 _FLOOR = -9.0  # log score of a bigram that was never seen
 
 
@@ -151,7 +152,7 @@ class ScriptScores:
         log = self.log
         states: dict[tuple[int, str], tuple[float, str]] = {}
         for i, cls in enumerate(classes):
-            options = CLASSES.get(cls) or {SCRIPT.get(cls, -1): cls}
+            options = {s: x for s, x in CLASSES[cls].items() if votes[s] > _OUT} if cls in CLASSES else {SCRIPT.get(cls, -1): cls}
             fresh = {}
             for s, letter in options.items():
                 low = letter.lower()
@@ -176,9 +177,11 @@ NO_SCORES = ScriptScores()
 
 
 def _votes(text: str) -> tuple[int, ...]:
-    """Log weights of the scripts by a value's unambiguous letters, the first one 0, none below -9."""
-    logs = [3 * math.log(0.05 + sum(map(len, _SURE[s].findall(text)))) for s in (LATIN, CYRILLIC, GREEK, ARMENIAN)]
-    return tuple(max(-9, round(x - max(logs))) for x in logs)
+    """Log weights of the scripts by a value's unambiguous letters, the first one 0, none below -9. A script other than Latin without
+    any such letter is out: the same value written in Latin letters has nothing that hints at it."""
+    sure = [sum(map(len, _SURE[s].findall(text))) for s in (LATIN, CYRILLIC, GREEK, ARMENIAN)]
+    logs = [3 * math.log(0.05 + n) for n in sure]
+    return tuple(_OUT if s != LATIN and not n else max(-9, round(x - max(logs))) for s, (n, x) in enumerate(zip(sure, logs)))
 
 
 def _resolve(text: str, scores: ScriptScores) -> str:

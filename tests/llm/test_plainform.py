@@ -44,6 +44,14 @@ def test_equal_looking_forms_agree_whatever_is_stored():
     assert len({plain(v + " зависает") for v in variants}) == 1
 
 
+def test_learned_scores_never_part_equal_looking_values():
+    from ledgerloom.llm.plainform import CYRILLIC, GREEK, ScriptScores
+
+    greek = ScriptScores({(GREEK, a, b): 9 for a, b in (("", "τ"), ("τ", "κ"), ("κ", "τ"), ("τ", ""))} | {(CYRILLIC, "", "с"): 5})
+    assert plain("ΤΚΤ-1也", greek) == plain("TKT-1也", greek) == "TKT-1也"
+    assert plain("c весны", greek) == plain("с весны", greek) == "с весны"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_plain_is_stable_and_offsets_point_back(text):
