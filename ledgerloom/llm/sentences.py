@@ -126,8 +126,12 @@ def _lines(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
         yield begin, end, whole
 
 
+@lru_cache(maxsize=200_000)
 def _norm(token: str) -> str:
-    return re.sub(r"\d+", "0", token.strip(_EDGE))[:24]
+    return _DIGITS.sub("0", token.strip(_EDGE))[:24]
+
+
+_DIGITS = re.compile(r"\d+")
 
 
 def places(text: str) -> tuple[list[Place], bool]:
@@ -163,7 +167,7 @@ def places(text: str) -> tuple[list[Place], bool]:
         sign = m.group()
         kind = "quote" if closed and not emoji and text[at - 1] != sign[-1] else "dots" if sign[0] in "…‥" or sign.startswith("..") and sign[-1] == "." else "sure" if sign[-1] in _ALWAYS else "stop"
         before = _BEFORE.search(text, max(0, m.start() - 40), m.start())
-        one = re.sub(r"\d+", "0", before.group())[-24:] if before else ""
+        one = _DIGITS.sub("0", before.group())[-24:] if before else ""
         if _NO_SPACE.search(one):
             one = one[-2:]
         if kind == "quote":
@@ -249,13 +253,18 @@ def count_events(text: str, counts: dict[str, Counter]) -> None:
                 for gram in (f"thai1 {tail[-4:]}", f"thai2 {tail[-8:]}", "thai0"):
                     end_counts[gram] += 1
         marked = True
-        for m in _TOKEN.finditer(part):
-            token = m.group()
-            if not marked:
-                gram = token[:3] if _THAI_LETTER.match(token) else _first(token, flat)
-                if not _NO_SPACE.match(token[:1]):
-                    middle_counts[gram] += 1
-            marked = bool(_MARK.search(token[-3:]))
+        for token in part.split():
+            gram, ending = _inner(token, flat)
+            if gram and not marked:
+                middle_counts[gram] += 1
+            marked = ending
+
+
+@lru_cache(maxsize=200_000)
+def _inner(token: str, flat: bool) -> tuple[str, bool]:
+    """How a word counts that starts no sentence ("" in scripts without spaces), and whether a mark may follow it."""
+    gram = "" if _NO_SPACE.match(token[:1]) else token[:3] if _THAI_LETTER.match(token) else _first(token, flat)
+    return gram, bool(_MARK.search(token[-3:]))
 
 
 def add_counts(counts: dict[str, Counter], tables: dict[str, np.ndarray]) -> None:
