@@ -391,7 +391,8 @@ def _add(a: float, b: float) -> float:
 
 
 def learn_events(docs: DataFrame, text_column: str = "text") -> EventModel:
-    """The model of all texts. Tasks count into tables of fixed size and send them in chunks that are summed by chunk; the
+    """The model of all texts, each different text counted once: copies of one text would make its words look as if they ended no
+    sentence. Tasks count into tables of fixed size and send them in chunks that are summed by chunk; the
     driver gets the four tables, whatever the collection. Null and empty texts count for nothing."""
     per_table = SIZE // _CHUNK
 
@@ -421,7 +422,7 @@ def learn_events(docs: DataFrame, text_column: str = "text") -> EventModel:
 
     kind = "chunk int, counts binary"
     tables = {name: np.zeros(SIZE, np.int64) for name in TABLES}
-    for row in docs.select(text_column).where(F.col(text_column).isNotNull()).mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
+    for row in docs.select(text_column).where(F.col(text_column).isNotNull()).distinct().mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
         t, k = divmod(row["chunk"], per_table)
         tables[TABLES[t]][k * _CHUNK : (k + 1) * _CHUNK] = np.frombuffer(row["counts"], "<u8").astype(np.int64)
     return EventModel(tables)

@@ -155,7 +155,14 @@ CORPUS = ["The list is long. It ends here.", "Mr. Korr came in. He left.", "We s
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return sentences.learn_events(_docs(spark, [(k, t) for k, t in enumerate(CORPUS)]))
+    return sentences.learn_events(_docs(spark, [(k, t + "\n\n" + str(k)) for k, t in enumerate(CORPUS)]))
+
+
+def test_copies_of_a_text_dont_bend_the_model(spark):
+    rows = [(k, t + "\n\n" + str(k)) for k, t in enumerate(CORPUS)]
+    once, often = (sentences.learn_events(_docs(spark, rows + [(9_000 + k, "One zebra ran. Two owls sat. It works.") for k in range(n)])) for n in (1, 400))
+    text = "One zebra ran. Two owls sat. It works."
+    assert once.units(text) == often.units(text)
 
 
 @pytest.mark.parametrize(
