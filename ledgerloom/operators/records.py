@@ -47,9 +47,9 @@ def spread_labels(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> D
     labels = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        better = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jump = better.select(F.col("id").alias("at"), F.col("root").alias("next"))
-        after = scratch.save(better.join(jump, F.col("root") == F.col("at"), "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root"), "was"))
+        jump = labels.select(F.col("id").alias("at"), F.col("root").alias("next"))
+        found = labels.withColumnRenamed("root", "was").join(near, F.col("id") == F.col("a")).join(jump, F.col("was") == F.col("at"), "left")
+        after = scratch.save(found.select("id", F.least("was", "near", "next").alias("root"), "was"))
         changed = not after.where("root <> was").isEmpty()
         scratch.drop(labels)
         labels = after.select("id", "root")
