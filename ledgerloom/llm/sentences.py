@@ -304,14 +304,18 @@ class EventModel:
             return odds
         n, e = self._seen(one)
         if e:
+            # the longer n-gram sharpens what the shorter one says
             longer, ends = self._seen(two)
-            if longer >= 20:
-                n, e = longer, ends
-        if e:
-            p = min(0.85 if kind == "quote" else 0.98, max(0.01, (e + 0.5) / (self.rate * n + 0.5)))
-            return log(p / (1 - p))
+            if not ends:
+                return max(-12.0, self._share(kind, n, e) - 0.96 * self.rate * longer)
+            return self._share(kind, longer, ends) if longer >= 20 else self._share(kind, n, e)
         return max(-12.0, odds - 0.96 * self.rate * n)
 
+    def _share(self, kind: str, n: float, ends: float) -> float:
+        """Log odds of the share of boundaries among n marks, of which `ends` are at a paragraph's end."""
+        p = min(0.85 if kind == "quote" else 0.98, max(0.01, (ends + 0.5) / (self.rate * n + 0.5)))
+        return log(p / (1 - p))
+
     def _seen(self, gram: str) -> tuple[float, float]:
         """How often an n-gram was before a mark, and how often of these at a paragraph's end."""
         end = float(self.tables["end"][_slot(gram)])
