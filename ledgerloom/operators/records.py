@@ -114,5 +114,17 @@ def conflicting_units(records: DataFrame, key: str, fields: tuple[str, ...]) ->
     )
 
 
+def short_text_pairs(records: DataFrame, roots: DataFrame, key: Column, words: Column, least: int = 20, most: int = 79, least_words: int = 4) -> DataFrame:
+    """(a, b): of each short text that records of several groups share, the smallest ids of its two first groups, for somebody to review.
+
+    Too short a text to link its records by itself. Two aggregates find the pair, so a text that very many records share isn't gathered.
+    """
+    own = records.select("id", key.alias("key"), words.alias("words")).where((F.length("key") >= least) & (F.length("key") <= most) & (F.col("words") >= least_words))
+    placed = own.join(roots.select("id", "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    heads = placed.groupBy("key", "root").agg(F.min("id").alias("id"))
+    first = heads.groupBy("key").agg(F.min_by("root", "id").alias("first_root"), F.min("id").alias("a"))
+    return heads.join(first, "key").where("root <> first_root").groupBy("key", "a").agg(F.min("id").alias("b")).select("a", "b")
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

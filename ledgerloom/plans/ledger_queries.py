@@ -89,6 +89,12 @@ def group_reasons(spark, folder):
     return records.group_reasons(found, roots, own)
 
 
+def short_text_pairs(spark, folder):
+    own, _, roots = _groups(spark, folder)
+    flat = T.ascii_lower(T.collapse_white_space(F.col("captured_text")))
+    return records.short_text_pairs(own, roots, flat, T.word_count(F.col("captured_text")))
+
+
 def conflicting_units(spark, folder):
     own = _records(spark, folder, "unit_id", "visibility", "community", "author_key", "thread_id", "captured_text").where("visibility = 'public'")
     return records.conflicting_units(own, "unit_id", ("author_key", "captured_text", "community", "thread_id"))
@@ -156,7 +162,7 @@ def ledger_fingerprint(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (repeated_deliveries, link_mismatches, late_publications, platform_mismatches, repeated_executions, review_conflicts, repost_faults, repost_cycles, group_representatives, group_reasons, conflicting_units, excerpt_faults, exact_text_groups, url_hosts, url_parameters, url_canonical, thread_concentration, coverage, citation_running_total, signal_support, top_threads, private_exposure, ledger_fingerprint)
+    for f in (repeated_deliveries, link_mismatches, late_publications, platform_mismatches, repeated_executions, review_conflicts, repost_faults, repost_cycles, group_representatives, group_reasons, short_text_pairs, conflicting_units, excerpt_faults, exact_text_groups, url_hosts, url_parameters, url_canonical, thread_concentration, coverage, citation_running_total, signal_support, top_threads, private_exposure, ledger_fingerprint)
 }
 
 _L = "l AS (SELECT * FROM source_ledger WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)"
@@ -185,6 +191,7 @@ SQL = {
     "repost_cycles": f"WITH RECURSIVE {_L}, s AS (SELECT lower(trim(id)) AS a, {_KEY.format('repost_of')} AS b FROM l), walk(first, here) AS (SELECT a, b FROM s UNION SELECT first, s.b FROM walk JOIN s ON s.a = walk.here) SELECT DISTINCT first AS id FROM walk WHERE first = here",
     "group_representatives": f"WITH RECURSIVE {_L}, {_LINKS}, o AS (SELECT DISTINCT {_KEY.format('repost_of')} AS k FROM l), m AS (SELECT roots.root, l.id, l.visibility, row_number() OVER (PARTITION BY root ORDER BY o.k IS NULL, published_at NULLS LAST, l.id) AS n FROM roots JOIN l USING (id) LEFT JOIN o ON o.k = lower(trim(l.id))) SELECT root, CASE WHEN bool_or(visibility <> 'public') THEN min(id) ELSE min(CASE WHEN n = 1 THEN id END) END AS representative, count(*) AS members FROM m GROUP BY root",
     "group_reasons": f"WITH RECURSIVE {_L}, {_LINKS}, why AS (SELECT root, string_agg(DISTINCT reason, ';' ORDER BY reason) AS reasons FROM links JOIN roots ON roots.id = links.a GROUP BY root), n AS (SELECT root, count(*) AS members, bool_or(visibility <> 'public') AS private FROM roots JOIN l USING (id) GROUP BY root) SELECT root, members, CASE WHEN private THEN 'withheld' ELSE reasons END AS reasons FROM n JOIN why USING (root)",
+    "short_text_pairs": f"WITH RECURSIVE {_L}, {_LINKS}, k AS (SELECT l.id, {_FLAT.format('captured_text')} AS key, coalesce(root, l.id) AS root FROM l LEFT JOIN roots USING (id)), h AS (SELECT key, root, min(id) AS id FROM k WHERE length(key) BETWEEN 20 AND 79 AND len(string_split(key, ' ')) >= 4 GROUP BY ALL), f AS (SELECT key, arg_min(root, id) AS first_root, min(id) AS a FROM h GROUP BY key) SELECT a, min(id) AS b FROM h JOIN f USING (key) WHERE root <> first_root GROUP BY key, a",
     "conflicting_units": f"WITH {_L}, u AS (SELECT unit_id, count(*) AS records, concat_ws(';', CASE WHEN count(DISTINCT coalesce(author_key, chr(0))) > 1 THEN 'author_key' END, CASE WHEN count(DISTINCT coalesce(captured_text, chr(0))) > 1 THEN 'captured_text' END, CASE WHEN count(DISTINCT coalesce(community, chr(0))) > 1 THEN 'community' END, CASE WHEN count(DISTINCT coalesce(thread_id, chr(0))) > 1 THEN 'thread_id' END) AS fields FROM l WHERE visibility = 'public' AND unit_id IS NOT NULL GROUP BY unit_id) SELECT * FROM u WHERE records > 1 AND fields <> ''",
     "excerpt_faults": f"WITH {_L}, e AS (SELECT id, captured_text, excerpt, {_FLAT.format('excerpt')} AS f FROM l WHERE excerpt IS NOT NULL) SELECT id, 'too_long' AS fault FROM e WHERE f <> '' AND len(string_split(f, ' ')) > 25 UNION ALL SELECT id, 'no_part' FROM e WHERE NOT contains(captured_text, excerpt)",
     "exact_text_groups": f"WITH {_L}, t AS (SELECT id, {_FLAT.format('captured_text')} AS t FROM l) SELECT md5(t) AS text_key, count(*) AS records, min(id) AS first_id FROM t WHERE t <> '' GROUP BY t HAVING count(*) > 1",

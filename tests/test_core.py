@@ -74,6 +74,24 @@ def test_functions(spark, function, value, expected):
     assert _one(spark, function, value) == expected
 
 
+def test_keyed_hashes(spark):
+    import hashlib
+    import hmac
+
+    from ledgerloom.functions.keys import hmac_sha256, pseudonym
+
+    for key in (b"k", b"x" * 100):
+        assert _one(spark, lambda c, key=key: hmac_sha256(key, c), "añb") == hmac.new(key, "añb".encode(), hashlib.sha256).hexdigest()
+        assert _one(spark, lambda c, key=key: hmac_sha256(key, c), None) is None
+    assert _one(spark, lambda c: pseudonym(b"k", F.lit("p"), c), "h") == "author:" + hmac.new(b"k", b"author-key\0p\0h", hashlib.sha256).hexdigest()[:16]
+
+
+def test_short_text_pairs(spark):
+    rows = spark.createDataFrame([("a", "we have the very same words"), ("b", "we have the very same words"), ("c", "we have the very same words"), ("d", "too short"), ("e", None)], "id string, t string")
+    roots = spark.createDataFrame([("b", "a"), ("a", "a")], "id string, root string")
+    assert {tuple(r) for r in records.short_text_pairs(rows, roots, F.col("t"), T.word_count(F.col("t"))).collect()} == {("a", "c")}
+
+
 def test_word_grams(spark):
     grams = lambda v: _one(spark, lambda c: T.word_grams(c, 2), v)
     assert grams("A b  a B") == ["a b", "b a"] and grams("a") == [] and grams("") == [] and grams(None) == []
