@@ -145,6 +145,20 @@ def signal_support(spark, folder):
     return signals.join(by, "id", "left").fillna(0)
 
 
+def contradicting_citations(spark, folder):
+    """Records that one signal cites for and against itself."""
+    catalog = read_table(spark, folder, "signal_catalog")
+    return links.bridge(catalog, "support_citations", "id", "source_id").intersect(links.bridge(catalog, "counter_citations", "id", "source_id"))
+
+
+def one_sided_signal_links(spark, folder):
+    """Links of records and signals that only the record or only the catalog has."""
+    catalog = read_table(spark, folder, "signal_catalog").withColumn("cited", F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("support_citations", "counter_citations"))))
+    right = links.bridge(catalog, "cited", "signal_key", "source_key").select(F.lower(F.trim("signal_key")).alias("signal_key"), "source_key").distinct()
+    left = links.bridge(_ledger(spark, folder), "signal_ids", "source_key", "signal_key").select("signal_key", F.lower(F.trim("source_key")).alias("source_key")).distinct()
+    return links.one_sided(left, right, ("signal_key", "source_key"))
+
+
 def top_threads(spark, folder):
     by = _records(spark, folder, "platform", "thread_id").select(F.lower(F.trim("platform")).alias("platform"), "thread_id").groupBy("platform", "thread_id").agg(F.count("*").alias("records"))
     return summaries.ranked(by, "platform", [F.desc("records"), F.asc("thread_id")], 5)
@@ -162,7 +176,7 @@ def ledger_fingerprint(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (repeated_deliveries, link_mismatches, late_publications, platform_mismatches, repeated_executions, review_conflicts, repost_faults, repost_cycles, group_representatives, group_reasons, short_text_pairs, conflicting_units, excerpt_faults, exact_text_groups, url_hosts, url_parameters, url_canonical, thread_concentration, coverage, citation_running_total, signal_support, top_threads, private_exposure, ledger_fingerprint)
+    for f in (repeated_deliveries, link_mismatches, late_publications, platform_mismatches, repeated_executions, review_conflicts, repost_faults, repost_cycles, group_representatives, group_reasons, short_text_pairs, conflicting_units, excerpt_faults, exact_text_groups, url_hosts, url_parameters, url_canonical, thread_concentration, coverage, citation_running_total, signal_support, contradicting_citations, one_sided_signal_links, top_threads, private_exposure, ledger_fingerprint)
 }
 
 _L = "l AS (SELECT * FROM source_ledger WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)"
@@ -201,5 +215,7 @@ SQL = {
     "coverage": f"WITH {_L} SELECT 'authors' AS measure, count(DISTINCT author_key) AS distinct_values FROM l UNION ALL SELECT 'communities', count(DISTINCT community) FROM l UNION ALL SELECT 'threads', count(DISTINCT thread_id) FROM l UNION ALL SELECT 'platforms', count(DISTINCT lower(trim(platform))) FROM l UNION ALL SELECT 'units', count(DISTINCT unit_id) FROM l",
     "citation_running_total": "WITH c AS (SELECT id, CAST(len(support_citations) + len(counter_citations) AS BIGINT) AS citations FROM signal_catalog) SELECT id, citations, CAST(sum(citations) OVER (ORDER BY id) AS BIGINT) AS total FROM c",
     "signal_support": f"WITH {_L}, c AS (SELECT DISTINCT id, {_KEY.format('x')} AS k FROM (SELECT id, unnest(support_citations) AS x FROM signal_catalog)), m AS (SELECT c.id, count(*) AS records, count(DISTINCT author_key) AS authors, count(DISTINCT thread_id) AS threads, count(DISTINCT community) AS communities FROM c JOIN l ON lower(trim(l.id)) = c.k GROUP BY c.id) SELECT s.id, coalesce(records, 0) AS records, coalesce(authors, 0) AS authors, coalesce(threads, 0) AS threads, coalesce(communities, 0) AS communities FROM (SELECT DISTINCT id FROM signal_catalog) s LEFT JOIN m USING (id)",
+    "contradicting_citations": "WITH s AS (SELECT id, " + _KEY.format("x") + " AS source_id FROM (SELECT id, unnest(support_citations) AS x FROM signal_catalog)), c AS (SELECT id, " + _KEY.format("x") + " AS source_id FROM (SELECT id, unnest(counter_citations) AS x FROM signal_catalog)) SELECT * FROM s WHERE source_id <> '' INTERSECT SELECT * FROM c",
+    "one_sided_signal_links": "WITH r AS (SELECT DISTINCT lower(trim(id)) AS signal_key, " + _KEY.format("x") + " AS source_key FROM (SELECT id, unnest(support_citations) AS x FROM signal_catalog UNION ALL SELECT id, unnest(counter_citations) FROM signal_catalog)), s AS (SELECT DISTINCT " + _KEY.format("x") + " AS signal_key, lower(trim(id)) AS source_key FROM (SELECT id, unnest(signal_ids) AS x FROM source_ledger)), r2 AS (SELECT * FROM r WHERE source_key <> ''), s2 AS (SELECT * FROM s WHERE signal_key <> '') SELECT *, 'left' AS side FROM (FROM s2 EXCEPT FROM r2) UNION ALL SELECT *, 'right' FROM (FROM r2 EXCEPT FROM s2)",
     "top_threads": f"WITH {_L}, n AS (SELECT lower(trim(platform)) AS platform, thread_id, count(*) AS records FROM l GROUP BY ALL) SELECT platform, thread_id, records, CAST(row_number() OVER (PARTITION BY platform ORDER BY records DESC, thread_id) AS INTEGER) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY platform ORDER BY records DESC, thread_id) <= 5",
 }
