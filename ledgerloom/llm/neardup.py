@@ -2,13 +2,14 @@
 
 The set of a text's word shingles is hashed by one function. Shingles are ranked by how common they are in the whole collection
 (a power of two, from a table of counts of fixed size), then by hash; the sketch of a text is the k first of its shingles in that order,
-k growing with the text. Inverted lists lead from every three neighbouring retained values to the texts that retain them side by
-side. Two texts whose sets share 80 % have at most a fifth of their union apart, mostly the rarest shingles, behind which values
-stand side by side in both. Pairs from the lists whose sizes allow the threshold are filtered on the union of their sketches: as far as both sketches reach in the common
+k growing with the text. Inverted lists lead from each of the first n - ceil(0.8 n) + 1 retained values of a set of n to the texts that retain it:
+two sets that share 80 % of their union have the first of their common values there, both of them. Pairs from the lists are left out
+where sizes, places or the parities of the sets refute the threshold, then filtered on the union of their sketches: as far as both sketches reach in the common
 order, all differences show, and more of them than the threshold allows refute the pair. What is left is verified exactly on the texts.
+No step loses a pair.
 
-A list that is longer than `list_limit` isn't paired off as it is: its texts are met again in lists of two long lists' values at once,
-and only what is still too long is paired in blocks spread over the cluster.
+A list that is longer than `list_limit` is split by the next common value of its pairs, which is one place further at most, up to three values;
+where splitting costs more than pairing, and what is still too long, is paired in blocks spread over the cluster.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from ledgerloom.operators.scratch import Scratch
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 _BUCKETS = 1 << 20
 _CHUNK = 1 << 12
+_LEVELS = 3  # common values that a list may be split by
+_BLOCK = 512  # owners of a block of a list that is paired whole
+_ROW = 64  # pairs compared for the price of a row sent
 
 
 def shingle_sets(streams: WordStreams, size: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +87,9 @@ def _ranks(short: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[short >> 12].astype(np.int64) << 32) | short.astype(np.int64)
 
 
-def sketches(texts: DataFrame, table: np.ndarray, size: int, least_words: int, share: float, extra: int) -> DataFrame:
-    """(id, class, n, sketch) of texts with enough words: hash of the word sequence, size of the shingle set, its first ranks in order."""
+def sketches(texts: DataFrame, table: np.ndarray, size: int, least_words: int, share: float, extra: int, threshold: float) -> DataFrame:
+    """(id, class, n, sketch, odd_0, odd_1) of texts with enough words: hash of the word sequence, size of the shingle set, its first ranks in
+    order, and for each of 128 parts of the hashes whether the set has an odd number there."""
     sent = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,107 +101,143 @@ def sketches(texts: DataFrame, table: np.ndarray, size: int, least_words: int, s
                 continue
             high, low = streams.text_hashes()
             rank = _ranks(_short(h), ranks_of)
-            order = np.lexsort((rank, doc))
-            doc, rank = doc[order], rank[order]
             n = np.bincount(doc, minlength=streams.n)
             starts = np.cumsum(n) - n
-            kept = np.arange(len(doc)) - starts[doc] < (np.ceil(share * n) + extra)[doc]
+            bit = np.uint64(1) << (h & np.uint64(63))
+            odd = [np.bitwise_xor.reduceat(np.where((h >> np.uint64(6)) & np.uint64(1) == k, bit, np.uint64(0)), starts[n > 0]).view(np.int64) for k in range(2)]
+            order = np.lexsort((rank, doc))
+            doc, rank = doc[order], rank[order]
+            # what the lists need is there whatever the share
+            kept = np.arange(len(doc)) - starts[doc] < np.maximum(np.ceil(share * n) + extra, n - np.ceil(threshold * n - 1e-9) + _LEVELS)[doc]
             doc, rank = doc[kept], rank[kept]
             own = np.nonzero(n)[0]
             ends = np.cumsum(np.bincount(doc, minlength=streams.n)[own])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(rank.astype(np.uint32).view(np.int32)))
             both = np.stack([high[own], low[own]], 1).astype(">u8").tobytes()
             classes = pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), classes, pa.array(n[own], pa.int32()), lists], names=["id", "class", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), classes, pa.array(n[own], pa.int32()), lists, *map(pa.array, odd)], names=["id", "class", "n", "sketch", "odd_0", "odd_1"])
 
-    return texts.select("id", "text").mapInArrow(run, "id string, class binary, n int, sketch array<int>")
+    return texts.select("id", "text").mapInArrow(run, "id string, class binary, n int, sketch array<int>, odd_0 bigint, odd_1 bigint")
 
 
-def _lists_to_pairs(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
-    """(a, b, key, n) from lists (key, owner, n): pairs a < b of a list's owners whose set sizes n allow the threshold, with key 0, or, of
-    lists beyond the limit, rows (owner, owner, key, n).
+def _lists_to_pairs(lists: DataFrame, limit: int | None, threshold: float, level: int) -> DataFrame:
+    """(a, b, key, n, at, odd_0, odd_1) from lists (key, owner, n, at, odd_0, odd_1): pairs a < b of a list's owners, with at -1, or, of lists
+    beyond the limit, if there is one, rows (owner, owner, key, n, at, odd_0, odd_1).
 
+    A key is of `level` values, the last of them at place `at` of the owner's order. Of the pairs those are left out that can't reach the threshold: by set
+    sizes, by what is left behind the places (true of a pair's first common values, and so of one of its lists), or
+    by the shingles that must be apart where the parities of the sets differ.
     The rows are sorted by key and streamed, so a list never has to fit in memory: as soon as it is too long it flows through."""
+    slack = (1 - threshold) / (1 + threshold)
+    names = ["a", "b", "key", "n", "at", "odd_0", "odd_1"]
+    types = (*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(a, b, key, n):
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, key)), pa.array(n, pa.int32())], names=["a", "b", "key", "n"])
+    def result(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=names)
 
-        rest_key, rest_owner, rest_n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         flowing = None
         for batch in batches:
-            key = np.concatenate([rest_key, batch.column(0).to_numpy()])
-            owner = np.concatenate([rest_owner, batch.column(1).to_numpy()])
-            n = np.concatenate([rest_n, batch.column(2).to_numpy()])
+            rows = [batch.column(i).to_numpy() for i in range(6)]
+            if rest is not None and len(rest[0]):
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            rest = None
             if flowing is not None:  # the list that is too long goes on
-                end = np.searchsorted(key, flowing, "right")
+                end = np.searchsorted(rows[0], flowing, "right")
                 if end:
-                    yield result(owner[:end], owner[:end], key[:end], n[:end])
-                key, owner, n = key[end:], owner[end:], n[end:]
-                if len(key):
+                    yield long([x[:end] for x in rows])
+                rows = [x[end:] for x in rows]
+                if len(rows[0]):
                     flowing = None
-            if not len(key):
-                rest_key, rest_owner, rest_n = key, owner, n
+            if not len(rows[0]):
                 continue
-            last = np.searchsorted(key, key[-1], "left")
-            yield from pairs(key[:last], owner[:last], n[:last], result)
-            rest_key, rest_owner, rest_n = key[last:], owner[last:], n[last:]
-            if len(rest_key) > limit:
-                flowing = rest_key[0]
-                yield result(rest_owner, rest_owner, rest_key, rest_n)
-                rest_key, rest_owner, rest_n = rest_key[:0], rest_owner[:0], rest_n[:0]
-        yield from pairs(rest_key, rest_owner, rest_n, result)
-
-    def pairs(key, owner, n, result):
+            last = np.searchsorted(rows[0], rows[0][-1], "left")
+            yield from pairs([x[:last] for x in rows])
+            rest = [x[last:] for x in rows]
+            if limit is not None and len(rest[0]) > limit:
+                flowing = rest[0][0]
+                yield long(rest)
+                rest = None
+        if rest is not None:
+            yield from pairs(rest)
+
+    def long(rows):
+        key, owner, *other = rows
+        return result(owner, owner, key, *other)
+
+    def pairs(rows):
+        key = rows[0]
         if not len(key):
             return
         starts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
         sizes = np.diff(np.append(starts, len(key)))
-        big = np.repeat(sizes > limit, sizes)
+        most = sizes.max() if limit is None else limit
+        big = np.repeat(sizes > most, sizes)
         if big.any():
-            yield result(owner[big], owner[big], key[big], n[big])
+            yield long([x[big] for x in rows])
         small = ~big & np.repeat(sizes > 1, sizes)
-        key, owner, n = key[small], owner[small], n[small]
+        key, owner, n, at, odd_0, odd_1 = (x[small] for x in rows)
+        n = n.astype(np.int64)
         found = []
-        for step in range(1, limit):
-            at = np.nonzero(key[step:] == key[:-step])[0]
-            if not len(at):
+        for step in range(1, most):
+            i = np.nonzero(key[step:] == key[:-step])[0]
+            if not len(i):
                 break
-            x, y, p, q = owner[at], owner[at + step], n[at], n[at + step]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[(x != y) & (np.minimum(p, q) >= threshold * np.maximum(p, q) - 1e-9)])
+            j = i + step
+            total = n[i] + n[j]
+            apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (odd_0, odd_1))
+            good = (owner[i] != owner[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (apart <= slack * total + 1e-9)
+            good &= level - 1 + np.minimum(n[i] - at[i], n[j] - at[j]) >= threshold / (1 + threshold) * total - 1e-9
+            x, y = owner[i[good]], owner[j[good]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         if found:
             both = np.unique(np.concatenate(found), axis=0)
-            yield result(both[:, 0], both[:, 1], np.zeros(len(both), np.int64), np.zeros(len(both), np.int32))
+            none = np.zeros(len(both), np.int64)
+            yield result(both[:, 0], both[:, 1], none, none, none - 1, none, none)
 
-    return lists.select("key", "owner", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, key bigint, n int")
+    own = lists.select("key", "owner", "n", "at", "odd_0", "odd_1").repartition("key").sortWithinPartitions("key")
+    return own.mapInArrow(run, "a bigint, b bigint, key bigint, n int, at int, odd_0 bigint, odd_1 bigint")
 
 
-def _block_pairs(lists: DataFrame, block: int) -> DataFrame:
-    """(a, b) of all pairs of each list, made in blocks of owners spread over tasks."""
+def _block_pairs(lists: DataFrame, threshold: float, level: int) -> DataFrame:
+    """(a, b) of the pairs of each list that _lists_to_pairs() doesn't refute, made in pairs of blocks of owners spread over tasks."""
     # the number of a list's blocks follows its size
-    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("m"))
     placed = lists.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("owner"), F.col("m")).cast("int"))
-    left = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    one = left.select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("owner").alias("a"))
-    two = left.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("owner").alias("b"))
-    return one.join(two, ["key", "i", "j"]).where("a < b").select("a", "b")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return _lists_to_pairs(spread.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))), None, threshold, level).select("a", "b")
 
 
 def _candidates(classes: DataFrame, scratch: Scratch, limit: int, threshold: float) -> DataFrame:
-    """(a, b): owners (the classes' short ids) that stand together in a list."""
-    size = F.size("sketch")
-    keys = F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.xxhash64(*(F.element_at("sketch", i + k) for k in range(3))))
-    lists = classes.where(size > 2).select(F.explode(keys).alias("key"), "owner", "n")
-    found = scratch.save(_lists_to_pairs(lists, limit, threshold))
-    pairs = found.where("key = 0").select("a", "b")
-    long = found.where("key <> 0").select("key", F.col("a").alias("owner"), "n")
-    if not long.isEmpty():
-        own = long.groupBy("owner", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a sketch's keys for each owner
-        one = own.select("owner", "n", "keys", F.posexplode("keys").alias("i", "first"))
-        double = one.select("owner", "n", F.explode(F.transform(F.slice("keys", F.col("i") + 2, F.size("keys")), lambda y: F.xxhash64("first", y))).alias("key"))
-        again = scratch.save(_lists_to_pairs(double, limit, threshold))
-        still = again.where("key <> 0").select("key", F.col("a").alias("owner"))
-        pairs = pairs.unionByName(again.where("key = 0").select("a", "b")).unionByName(_block_pairs(still, limit))
+    """(a, b): owners (the classes' short ids) of all pairs that reach the threshold, and of few others.
+
+    The k-th common value of such a pair is among the first n - ceil(threshold * n) + k of each side's order, so each pair stands in the list of its first
+    common value, in that of its first two, and so on, as long as it has so many in common."""
+    needed = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    reach = lambda level: F.least(F.col("n"), F.col("n") - needed + level)
+    odd = ("odd_0", "odd_1")
+    lists = classes.select("owner", "n", *odd, F.posexplode(F.slice("sketch", 1, reach(1))).alias("at", "value")).select(F.xxhash64("value").alias("key"), "owner", "n", "at", *odd)
+    pairs = None
+    for level in range(1, _LEVELS + 1):
+        found = scratch.save(_lists_to_pairs(lists, limit, threshold, level))
+        own = found.where("at < 0").select("a", "b")
+        pairs = own if pairs is None else pairs.unionByName(own)
+        long = found.where("at >= 0").select("key", F.col("a").alias("owner"), "n", "at", *odd)
+        if long.isEmpty():
+            break
+        # a list is split by the next common value where that makes fewer rows than its pairs are worth
+        rows = F.sum((reach(level + 1) - F.col("at") - 1).cast("bigint"))
+        split = 2 * _ROW * rows < F.count("*") * F.count("*") if level < _LEVELS else F.lit(False)
+        marked = scratch.save(long.join(long.groupBy("key").agg(split.alias("split")), "key"))
+        # a pair without a next common value has sets of at most level / threshold values
+        pairs = pairs.unionByName(_block_pairs(marked.where(~F.col("split") | (needed <= level)), threshold, level))
+        next_ones = marked.where("split")
+        if next_ones.isEmpty():
+            break
+        rest = F.slice("sketch", F.col("at") + 2, F.greatest(F.lit(0), reach(level + 1) - F.col("at") - 1))
+        lists = next_ones.join(classes.select("owner", "sketch"), "owner").select("key", "owner", "n", "at", *odd, F.posexplode(rest).alias("step", "value"))
+        lists = lists.select(F.xxhash64("key", "value").alias("key"), "owner", "n", (F.col("at") + 1 + F.col("step")).alias("at"), *odd)
     return pairs.distinct()
 
 
@@ -277,9 +318,9 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, text: str = "captured_tex
     """
     texts = rows.where(F.col("id").isNotNull() & not_blank(F.col(text))).select("id", F.col(text).alias("text"))
     table = common_shingles(texts, size, least_words)
-    all_sketches = scratch.save(sketches(texts, table, size, least_words, share, extra))
+    all_sketches = scratch.save(sketches(texts, table, size, least_words, share, extra, threshold))
     classes = scratch.save(
-        all_sketches.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        all_sketches.groupBy("class").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "odd_0", "odd_1")))
         .withColumn("owner", F.xxhash64("class"))
     )
     members = scratch.save(all_sketches.select("class", "id").distinct())

@@ -146,3 +146,26 @@ def test_ledger_links(spark):
         f"id string, repost_of string, duplicate_reviews {review}",
     )
     assert {tuple(r) for r in components.ledger_groups(rows, Scratch(spark)).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def _found(spark, rows, **options):
+    pairs, members = neardup.near_duplicates(_table(spark, rows), Scratch(spark), **options)
+    names = {}
+    for r in members.collect():
+        names.setdefault(bytes(r["class"]), []).append(r["id"])
+    return {tuple(sorted((x, y))) for a, b in pairs.collect() for x in names[bytes(a)] for y in names[bytes(b)]}
+
+
+@pytest.mark.parametrize("limit", [2, 64])
+def test_a_list_of_one_triple_beyond_the_limit_loses_no_pair(spark, limit):
+    """70 variants whose sets are the same three shingles: one triple is all that each two of them share."""
+    rows = [(f"s{k}", " ".join((["a", "b", "c"] * 34)[:k]), None) for k in range(30, 100)]
+    assert _found(spark, rows, list_limit=limit) == _brute(rows)
+
+
+@pytest.mark.parametrize("block, row", [(8, 10**6), (8, 0)])
+def test_lists_split_or_paired_in_blocks_lose_no_pair(spark, monkeypatch, block, row):
+    monkeypatch.setattr(neardup, "_BLOCK", block)
+    monkeypatch.setattr(neardup, "_ROW", row)
+    rows = _texts(5, 30) + [(f"x{k}", " ".join((["a", "b", "c", "d"] * 12)[:k]), None) for k in range(30, 44)] + [(f"y{k}", " ".join(["a"] * k), None) for k in range(30, 44)]
+    assert _found(spark, rows, list_limit=1) == _brute(rows)
