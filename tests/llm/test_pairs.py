@@ -169,3 +169,11 @@ def test_lists_split_or_paired_in_blocks_lose_no_pair(spark, monkeypatch, block,
     monkeypatch.setattr(neardup, "_ROW", row)
     rows = _texts(5, 30) + [(f"x{k}", " ".join((["a", "b", "c", "d"] * 12)[:k]), None) for k in range(30, 44)] + [(f"y{k}", " ".join(["a"] * k), None) for k in range(30, 44)]
     assert _found(spark, rows, list_limit=1) == _brute(rows)
+
+
+def test_sets_of_few_shingles(spark):
+    """Equal sets of one, two and four shingles in different sequences, and sets of four and five."""
+    rows = [(f"o{k}", " ".join(["one"] * k), None) for k in (30, 31, 40)] + [(f"t{k}", " ".join((["up", "down"] * 20)[:k]), None) for k in (30, 31, 33)]
+    rows += [(f"f{k}", " ".join((["a", "b", "c", "d"] * 12)[:k]), None) for k in (30, 35, 36)] + [("g", " ".join((["a", "b", "c", "d"] * 12)[:36] + ["e"]), None)]
+    assert len(_brute(rows)) > 8
+    assert _found(spark, rows) == _brute(rows) == _found(spark, rows, list_limit=2)
