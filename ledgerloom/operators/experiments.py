@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,39 @@ def bootstrap_interval(spark: SparkSession, cases: dict[str, list[float]], draws
     return means.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
 
 
+def bootstrap_interval_of_effects(effects: DataFrame, draws: int = 10_000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(low, high) as of bootstrap_interval(), from effects (case_id, lift) of any number of pairs; null lifts don't count.
+
+    Pairs drawn from a case are multinomial counts over the histogram of its lifts, so every pair takes part and no list of pairs is
+    held: each task has the histograms, of the different lifts of each case."""
+    own = effects.where(F.col("lift").isNotNull() & F.col("case_id").isNotNull())
+    counts = own.groupBy(F.col("case_id").cast("string").alias("case_id"), F.col("lift").cast("double").alias("lift")).agg(F.count("*").alias("n"))
+    lists = counts.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("lift", "n"))).alias("x"))  # one row for each case
+    whole = lists.agg(F.sort_array(F.collect_list(F.struct("case_id", "x"))).alias("cases")).where("size(cases) > 0").withColumn("one", F.lit(1))
+    tasks = 16
+    jobs = effects.sparkSession.range(tasks).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").select("id", "cases").repartition(tasks, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job, cases in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lifts, sizes, shares = [], [], []
+                for case in cases.values.field("x"):
+                    n = case.values.field("n").to_numpy()
+                    lifts.append(case.values.field("lift").to_numpy())
+                    sizes.append(int(n.sum()))
+                    shares.append(n / n.sum())
+                means = []
+                for draw in range(job, draws, tasks):
+                    rng = np.random.default_rng((seed, draw))
+                    picked = rng.integers(len(lifts), size=len(lifts))
+                    means.append(float(np.mean([rng.multinomial(sizes[c], shares[c]) @ lifts[c] / sizes[c] for c in picked])))
+                yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["mean"])
+
+    means = jobs.mapInArrow(run, "mean double")
+    tail = (1 - level) / 2
+    return means.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high")).where("low is not null")
+
+
 def keyed_order(rows: DataFrame, id_column: str, key: str) -> DataFrame:
     """(id, position): a permutation that the key decides, from 0. Ties of the hash fall back on the id."""
     from ledgerloom.operators.links import running_total

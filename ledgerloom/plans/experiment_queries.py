@@ -54,10 +54,7 @@ def paired_effects(spark, folder):
 
 
 def bootstrap_interval(spark, folder):
-    effects = experiments.paired_effects(_totals(spark, folder), "baseline", "skill").where("lift is not null")
-    by_case = effects.groupBy("case_id").agg(F.avg("lift").cast("double").alias("m"))
-    cases = {str(r["case_id"]): [r["m"]] for r in by_case.collect()}  # a dozen cases
-    return experiments.bootstrap_interval(spark, cases)
+    return experiments.bootstrap_interval_of_effects(experiments.paired_effects(_totals(spark, folder), "baseline", "skill"))
 
 
 def blind_order(spark, folder):

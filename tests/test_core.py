@@ -247,3 +247,24 @@ def test_optional_subpackage(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+def test_bootstrap_of_effects_draws_pairs(spark):
+    """Cases of one mean: all variation is between pairs within them."""
+    lifts = [float(x) for x in range(-10, 11)]
+    rows = [(c, x) for c in range(4) for x in lifts] + [(1, None), (None, 3.0)]
+    row = experiments.bootstrap_interval_of_effects(spark.createDataFrame(rows, "case_id int, lift double"), draws=4_000).first()
+    spread = 1.96 * (sum(x * x for x in lifts) / len(lifts) / len(lifts) / 4) ** 0.5
+    assert abs(row.low + spread) < 0.15 * spread and abs(row.high - spread) < 0.15 * spread
+    own = experiments.bootstrap_interval(spark, {str(c): lifts for c in range(4)}, draws=4_000).first()
+    assert abs(row.low - own.low) < 0.15 * spread and abs(row.high - own.high) < 0.15 * spread
+    assert experiments.bootstrap_interval_of_effects(spark.createDataFrame([], "case_id int, lift double")).count() == 0
+
+
+def test_the_bootstrap_query_draws_pairs(spark, monkeypatch):
+    from ledgerloom.plans import experiment_queries
+
+    totals = [(p % 2, p, c, float(p // 2 % 5) if c == "skill" else 0.0) for p in range(40) for c in ("baseline", "skill")]
+    monkeypatch.setattr(experiment_queries, "_totals", lambda *_: spark.createDataFrame(totals, "case_id bigint, pair_id bigint, condition string, total double"))
+    row = experiment_queries.bootstrap_interval(spark, "").first()
+    assert row.low < 1.8 and row.high > 2.2  # both cases have the mean 2
