@@ -7,13 +7,15 @@ end, words at its start, and words elsewhere. A word that stands before marks of
 sentences; a word that starts paragraphs may start sentences. Forward-backward over a paragraph's places, with a prior
 on the lengths of sentences, gives the posterior of each event. Quoted or bracketed text has no places inside.
 
-Counts are kept in tables of fixed size by hashes of the n-grams, so the model is equally large for any collection.
+Counts are summed by n-gram and kept with fingerprints of 64 bits, so no n-gram reads the counts of another. The model has 16 bytes for each different
+n-gram; their number grows more slowly than the collection.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE = 1 << 17  # buckets of each table
-_CHUNK = 1 << 11
+_HELD = 1 << 18  # n-grams that a task holds before it sends their counts
 TABLES = ("place", "end", "start", "middle")
 
 _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028])"
@@ -217,8 +218,9 @@ def _script(text: str, at: int) -> str:
     return "non"
 
 
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "replace")) & (SIZE - 1)
+def _print(gram: str) -> int:
+    """A fingerprint of 64 bits."""
+    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _shape(after: str) -> str:
@@ -229,6 +231,9 @@ def _shape(after: str) -> str:
     return "^up" if ch.isupper() else "^low" if ch.islower() else "^num" if ch.isdigit() else "^let" if ch.isalpha() else "^sign"
 
 
+SHAPES = ("^flat", "^up", "^low", "^num", "^let", "^sign")
+
+
 def count_events(text: str, counts: dict[str, Counter]) -> None:
     """Adds the n-grams of a text's certain events to the counters of the tables."""
     place_counts, end_counts, start_counts, middle_counts = (counts[name] for name in TABLES)
@@ -267,18 +272,22 @@ def _inner(token: str, flat: bool) -> tuple[str, bool]:
     return gram, bool(_MARK.search(token[-3:]))
 
 
-def add_counts(counts: dict[str, Counter], tables: dict[str, np.ndarray]) -> None:
-    """Adds counters to the tables, the words at starts and elsewhere under their classes and in total as well, and empties them."""
-    for name in TABLES:
-        table = tables[name]
-        for gram, n in counts[name].items():
-            table[_slot(gram)] += n
-            if name in ("start", "middle"):
-                # classes count kinds of words rather than occurrences: they speak for words that were not seen
-                table[_slot(_shape(gram))] += min(n, 2)
-                table[_slot("^")] += min(n, 2)
-                table[_slot("")] += n
-        counts[name].clear()
+class Counts:
+    """How often each n-gram of a table was counted, by fingerprint.
+
+    kinds: how many there are of each class; they count kinds of words rather than occurrences, a word at most twice: they speak for words that were not seen."""
+
+    def __init__(self, prints: np.ndarray, numbers: np.ndarray, shapes: np.ndarray):
+        order = np.argsort(prints)
+        self.prints, self.numbers = array("q", prints[order].astype(np.int64).tobytes()), array("q", numbers[order].astype(np.int64).tobytes())
+        kinds = np.bincount(shapes, np.minimum(numbers, 2), len(SHAPES))
+        self.kinds = dict(zip(SHAPES, kinds.tolist()))
+        self.all_kinds, self.total = float(kinds.sum()), float(numbers.sum())
+
+    def __getitem__(self, gram: str) -> float:
+        own = _print(gram)
+        k = bisect_left(self.prints, own)
+        return float(self.numbers[k]) if k < len(self.prints) and self.prints[k] == own else 0.0
 
 
 class EventModel:
@@ -287,13 +296,12 @@ class EventModel:
     #: Prior log odds by kind of place.
     PRIOR = {"sure": 2.5, "stop": 2.2, "dots": 0.0, "quote": 0.0, "thai": -0.5}
 
-    def __init__(self, tables: dict[str, np.ndarray]):
+    def __init__(self, tables: dict[str, Counts]):
         self.tables = tables
-        get = lambda name, gram: float(tables[name][_slot(gram)])
-        ends = sum(get("end", f"{k}0") for k in ("sure", "stop"))
+        ends = sum(tables["end"][f"{k}0"] for k in ("sure", "stop"))
         #: How many of the boundaries are at a paragraph's end.
-        self.rate = min(0.5, max(0.02, ends / max(1.0, ends + sum(get("place", f"{k}0") for k in ("sure", "stop")))))
-        self.starts, self.middles = max(1.0, get("start", "")), max(1.0, get("middle", ""))
+        self.rate = min(0.5, max(0.02, ends / max(1.0, ends + sum(tables["place"][f"{k}0"] for k in ("sure", "stop")))))
+        self.starts, self.middles = max(1.0, tables["start"].total), max(1.0, tables["middle"].total)
 
     @lru_cache(maxsize=200_000)
     def _before(self, kind: str, one: str, two: str) -> float:
@@ -318,8 +326,8 @@ class EventModel:
 
     def _seen(self, gram: str) -> tuple[float, float]:
         """How often an n-gram was before a mark, and how often of these at a paragraph's end."""
-        end = float(self.tables["end"][_slot(gram)])
-        return end + float(self.tables["place"][_slot(gram)]), end
+        end = self.tables["end"][gram]
+        return end + self.tables["place"][gram], end
 
     @lru_cache(maxsize=200_000)
     def _after(self, after: str) -> float:
@@ -327,13 +335,13 @@ class EventModel:
             return 0.0
         start, middle = self.tables["start"], self.tables["middle"]
         shape = _shape(after)
-        back_s = (float(start[_slot(shape)]) + 0.5) / (float(start[_slot("^")]) + 1)
-        back_m = (float(middle[_slot(shape)]) + 0.5) / (float(middle[_slot("^")]) + 1)
-        s = (float(start[_slot(after)]) + 4 * back_s) / (self.starts + 4)
-        m = (float(middle[_slot(after)]) + 4 * back_m) / (self.middles + 4)
+        back_s = (start.kinds[shape] + 0.5) / (start.all_kinds + 1)
+        back_m = (middle.kinds[shape] + 0.5) / (middle.all_kinds + 1)
+        at_start, at_middle = start[after], middle[after]
+        s = (at_start + 4 * back_s) / (self.starts + 4)
+        m = (at_middle + 4 * back_m) / (self.middles + 4)
         # a word that was seen nowhere says what its class says
-        seen = float(start[_slot(after)] + middle[_slot(after)])
-        if seen < 1:
+        if at_start + at_middle < 1:
             return max(-5.0, min(5.0, log(back_s / back_m)))
         return max(-7.0, min(7.0, log(s / m)))
 
@@ -396,40 +404,30 @@ def _add(a: float, b: float) -> float:
 
 def learn_events(docs: DataFrame, text_column: str = "text") -> EventModel:
     """The model of all texts, each different text counted once: copies of one text would make its words look as if they ended no
-    sentence. Tasks count into tables of fixed size and send them in chunks that are summed by chunk; the
-    driver gets the four tables, whatever the collection. Null and empty texts count for nothing."""
-    per_table = SIZE // _CHUNK
+    sentence. Tasks send what they counted by fingerprint, to be summed by shuffle; the driver gets one number for each different
+    n-gram. Null and empty texts count for nothing."""
+
+    def rows(counts: dict[str, Counter]) -> pa.RecordBatch:
+        out = [(t, SHAPES.index(_shape(gram)), _print(gram), n) for t, name in enumerate(TABLES) for gram, n in counts[name].items()]
+        for counter in counts.values():
+            counter.clear()
+        types = (pa.int8(), pa.int8(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, types)], names=["part", "shape", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {name: np.zeros(SIZE, np.int64) for name in TABLES}
         counts = {name: Counter() for name in TABLES}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
                     count_events(text, counts)
-            add_counts(counts, tables)
-        numbers, chunks = [], []
-        for t, name in enumerate(TABLES):
-            for k in range(per_table):
-                own = tables[name][k * _CHUNK : (k + 1) * _CHUNK]
-                if own.any():
-                    numbers.append(t * per_table + k)
-                    chunks.append(own.astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<u8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<u8").tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    kind = "chunk int, counts binary"
-    tables = {name: np.zeros(SIZE, np.int64) for name in TABLES}
-    for row in docs.select(text_column).where(F.col(text_column).isNotNull()).distinct().mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
-        t, k = divmod(row["chunk"], per_table)
-        tables[TABLES[t]][k * _CHUNK : (k + 1) * _CHUNK] = np.frombuffer(row["counts"], "<u8").astype(np.int64)
-    return EventModel(tables)
+                    if sum(map(len, counts.values())) > _HELD:
+                        yield rows(counts)
+        yield rows(counts)
+
+    texts = docs.select(text_column).where(F.col(text_column).isNotNull()).distinct()
+    sums = texts.mapInArrow(count, "part tinyint, shape tinyint, gram bigint, n bigint").groupBy("part", "gram").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    part, gram, shape, n = (column.to_numpy() for column in sums.select("part", "gram", "shape", "n").toArrow().columns)
+    return EventModel({name: Counts(gram[part == t], n[part == t], shape[part == t]) for t, name in enumerate(TABLES)})
 
 
 def sentence_units(docs: DataFrame, model: EventModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -203,3 +203,28 @@ def test_units_are_ordered_parts_without_white_space_at_their_ends(model, text):
         assert not text[at:a].strip()
         at = b
     assert not text[at:].strip()
+
+
+def test_no_n_gram_reads_the_counts_of_another(spark):
+    """140,000 different words before marks: as many as a table of fixed size could have slots."""
+    texts = [" ".join(f"it q{_letters(k * 200 + i)}. then" for i in range(200)) for k in range(700)]
+    model = sentences.learn_events(_docs(spark, list(enumerate(texts))))
+    unseen = [model._before("stop", f"stop1 z{_letters(k)}", f"stop2 it z{_letters(k)}") for k in range(500)]
+    assert set(unseen) == {model.PRIOR["stop"]}
+
+
+def _letters(k):
+    return "".join(chr(97 + int(d)) for d in str(k))
+
+
+def test_classes_count_words_whatever_the_batches(spark):
+    rows = [(k, f"Word came {k % 7}. It went") for k in range(200)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        kinds = []
+        for size in ("10000", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            kinds.append([sentences.learn_events(_docs(spark, [(k, f"{t} x{_letters(k)}") for k, t in rows]).coalesce(1)).tables[t].kinds for t in ("start", "middle")])
+        assert kinds[0] == kinds[1] and kinds[0][0]["^up"] == 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
