@@ -107,7 +107,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, bool]]:
         yield "address", start, end, street.lower(), "", not street or street[0].isupper()
     flat = not _UPPER.search(text) or not _LOWER.search(text)
     for m in (_GIVEN_FAMILY_FLAT if flat else _GIVEN_FAMILY).finditer(text):
-        yield "name", m.start(1), m.end(2), m[1].lower(), m[2].lower().split("-")[0], True
+        yield "flat name" if flat else "name", m.start(1), m.end(2), m[1].lower(), m[2].lower().split("-")[0], True
     if "," in text or ";" in text:
         for m in _COMMA.finditer(text):
             if flat or m[1][0].isupper():
@@ -154,15 +154,32 @@ def disclosing_terms(counts: DataFrame, term: str, weight: str, known: Column, l
 
 def _names(found: DataFrame, given_names: DataFrame) -> DataFrame:
     seeds = given_names.select(F.lower(F.trim("given_name")).alias("term")).where("term <> ''").distinct()
-    names = found.where("kind = 'name'")
+    """Pairs of capitals that start with a given name of the list, or one that was safely learned, unless the statistics speak against the second
+    word; pairs in another order or without capitals only where both words disclose names."""
+    names = found.where("kind IN ('name', 'flat name')")
     pairs = names.where("sure").groupBy("term", "other").agg(F.count("*").alias("n"))
     marked = pairs.join(seeds.withColumn("seed", F.lit(True)), "term", "left")
     families = disclosing_terms(marked, "other", "n", F.col("seed").isNotNull(), 0.2, -0.5)
     behind = pairs.join(families.withColumn("family", F.lit(True)), "other", "left")
-    givens = disclosing_terms(behind, "term", "n", F.col("family").isNotNull(), 0.5, -0.5).unionByName(seeds).distinct()
+    known = F.col("family").isNotNull()
+    givens = disclosing_terms(behind, "term", "n", known, 0.5, -0.5).unionByName(seeds).distinct()
+    safe = disclosing_terms(behind, "term", "n", known, 0.5, 0.0, 5).unionByName(seeds).distinct()
     again = pairs.join(givens.withColumn("given", F.lit(True)), "term", "left")
     families = disclosing_terms(again, "other", "n", F.col("given").isNotNull(), 0.5, -0.5)
-    return names.join(givens, "term").join(families, "other").select("id", "field", F.col("kind"), "start_at", "end_at")
+    against = _words_against(again)
+    told = names.join(givens, "term").join(families, "other")
+    single = names.where("sure AND kind = 'name'").join(safe, "term").join(against, "other", "left_anti")
+    place = ("id", "field", "start_at", "end_at")
+    return told.select(*place).unionByName(single.select(*place)).distinct().select("id", "field", F.lit("name").alias("kind"), "start_at", "end_at")
+
+
+def _words_against(pairs: DataFrame) -> DataFrame:
+    """(other) of pairs (term, other, n, given) that is behind given names less often than any word is, and in less than half of its uses. One
+    use more is granted, so that few uses say little."""
+    with_given = F.sum(F.when(F.col("given").isNotNull(), F.col("n")).otherwise(0))
+    total = pairs.agg(with_given.alias("hits"), F.sum("n").alias("all"))
+    by = pairs.groupBy("other").agg(with_given.alias("with"), F.sum("n").alias("n")).withColumn("share", (F.col("with") + 1) / (F.col("n") + 1))
+    return by.crossJoin(F.broadcast(total)).where((F.col("share") < 0.5) & (F.col("share") * F.col("all") < F.col("hits"))).select("other")  # total is one row
 
 
 def _numbers(found: DataFrame) -> DataFrame:

@@ -228,3 +228,14 @@ def test_classes_count_words_whatever_the_batches(spark):
         assert kinds[0] == kinds[1] and kinds[0][0]["^up"] == 2
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_family_name_of_one_place_is_found(spark):
+    rows = [(f"r{k}", f"We asked {g} {f} for it.", None) for k, (g, f) in enumerate([(g, f) for g in ("Annike", "Bertil") for f in ("Drosvik", "Korrigarn", "Orlisek")])]
+    rows += [(f"s{k}", f"We saw {w} Mode and {w} Board there.", None) for k, w in enumerate(["Quick", "Night", "Street", "Safe", "Green", "Plain", "Open", "Team", "Long", "Short"])]
+    rows += [("one", "We asked Annike Solvarin for it.", None), ("two", "See Bertil Mode for it.", None), ("flat", "we asked annike again for it.", None)]
+    rows += [("mix", "We asked Bertil Zarnok of Zarnok Works.", None), ("mix2", "Our Zarnok is here.", None)]
+    _, items = _items(spark, rows)
+    got = {(r.id, r.kind, r.start_at) for r in items.collect()}
+    assert ("one", "name", 9) in got and ("mix", "name", 9) in got
+    assert not [x for x in got if x[0] in ("two", "flat") or x[0][0] == "s"]
