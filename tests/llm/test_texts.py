@@ -145,8 +145,25 @@ def test_personal_items_and_placeholders(spark):
     assert out["f"].captured_text is None and out["g"].captured_text == ""
 
 
+def test_letters_of_other_scripts_and_streets_of_several_words(spark):
+    rows = [("v", "Gặp Lan Nguyễn ở đây.", None), ("r", "Это Анна Петрова сказала.", None), ("p", "We met Annike van der Meer there.", None), ("s", "Send it to 12 Old Mill Lane today. WE SAW 79 MAIN FEATURES ON THAT ROAD.", None),
+            ("g", "Sie wohnt Lange Straße 5. Er wohnt Am Anger 7, 99318 Ort.", None), ("w", "Look at example dot com now.", None), ("i", "It listens on 10.22.0.73 here.", None)]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], PERSON)
+    given = spark.createDataFrame([("Annike",), ("Lan",), ("анна",), (None,)], "given_name string")
+    texts = {i: t for i, t, _ in rows}
+    got = {(r.id, r.kind, texts[r.id][r.start_at : r.end_at]) for r in personal.personal_items(table, given, Scratch(spark)).collect()}
+    assert got == {("v", "name", "Lan Nguyễn"), ("r", "name", "Анна Петрова"), ("p", "name", "Annike van der Meer"), ("s", "address", "12 Old Mill Lane"), ("g", "address", "Am Anger 7, 99318")}
+
+
+def test_a_family_name_of_one_place_and_a_common_word(spark):
+    rows = [(f"h{k}", f"They hit it, hit it, hit it, hit it, hit it and hit it. Then Annike Hit it {k} times.", None) for k in range(3)] + [("z", "We saw Annike Zwy there.", None)]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], PERSON)
+    got = personal.personal_items(table, spark.createDataFrame([("Annike",)], "given_name string"), Scratch(spark)).collect()
+    assert {(r.id, r.kind, r.start_at) for r in got} == {("z", "name", 7)}
+
+
 def test_personal_items_of_nothing(spark):
-    _, items = _items(spark, [])if False else (None, personal.personal_items(spark.createDataFrame([], PERSON), spark.createDataFrame([], "given_name string"), Scratch(spark)))
+    _, items = (None, personal.personal_items(spark.createDataFrame([], PERSON), spark.createDataFrame([], "given_name string"), Scratch(spark)))
     assert items.count() == 0
 
 
