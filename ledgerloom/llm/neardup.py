@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.lookalikes import not_blank
-from ledgerloom.llm.plainform import plain
-from ledgerloom.llm.textstream import WordStreams, mix
+from ledgerloom.llm.textstream import WordStreams, chunks, mix
 from ledgerloom.operators.scratch import Scratch
 
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -63,10 +62,11 @@ def common_shingles(texts: DataFrame, size: int, least_words: int) -> np.ndarray
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BUCKETS, np.int64)
         for batch in batches:
-            _, h = shingle_sets(WordStreams([plain(x) for x in batch.column(0).to_pylist()]), size, least_words)
-            total += np.bincount(_short(h) >> 12, minlength=_BUCKETS)
-        chunks = [total[i : i + _CHUNK].astype("<u4").tobytes() for i in range(0, _BUCKETS, _CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
+            for _, some in chunks(batch.column(0)):
+                _, h = shingle_sets(WordStreams(some), size, least_words)
+                total += np.bincount(_short(h) >> 12, minlength=_BUCKETS)
+        parts = [total[i : i + _CHUNK].astype("<u4").tobytes() for i in range(0, _BUCKETS, _CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -94,8 +94,8 @@ def sketches(texts: DataFrame, table: np.ndarray, size: int, least_words: int, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks_of = sent.value
-        for batch in batches:
-            streams = WordStreams([plain(x) for x in batch.column(1).to_pylist()])
+        for ids, some in ((batch.column(0).slice(at, len(some)), some) for batch in batches for at, some in chunks(batch.column(1))):
+            streams = WordStreams(some)
             doc, h = shingle_sets(streams, size, least_words)
             if not len(doc):
                 continue
@@ -115,7 +115,7 @@ def sketches(texts: DataFrame, table: np.ndarray, size: int, least_words: int, s
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(rank.astype(np.uint32).view(np.int32)))
             both = np.stack([high[own], low[own]], 1).astype(">u8").tobytes()
             classes = pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), classes, pa.array(n[own], pa.int32()), lists, *map(pa.array, odd)], names=["id", "class", "n", "sketch", "odd_0", "odd_1"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), classes, pa.array(n[own], pa.int32()), lists, *map(pa.array, odd)], names=["id", "class", "n", "sketch", "odd_0", "odd_1"])
 
     return texts.select("id", "text").mapInArrow(run, "id string, class binary, n int, sketch array<int>, odd_0 bigint, odd_1 bigint")
 
@@ -291,11 +291,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(2).to_pylist() + batch.column(3).to_pylist()
-            place: dict[str, int] = {}
-            where = np.array([place.setdefault(x, len(place)) for x in values], np.int64)
-            doc, h = shingle_sets(WordStreams([plain(x) for x in place]), size, 0)
-            edges = np.searchsorted(doc, np.arange(len(place) + 1))
+            values = pa.chunked_array([batch.column(2), batch.column(3)]).combine_chunks().dictionary_encode()
+            where, texts = values.indices.to_numpy(), values.dictionary
+            found = [(at + doc, h) for at, some in chunks(texts) for doc, h in [shingle_sets(WordStreams(some), size, 0)]]
+            doc, h = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            edges = np.searchsorted(doc, np.arange(len(texts) + 1))
             m = batch.num_rows
             good = np.zeros(m, bool)
             for i in range(m):

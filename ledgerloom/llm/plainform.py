@@ -43,7 +43,21 @@ HYPHENS = "‐‑﹣－"
 ELLIPSIS = {"…": "..."}
 
 LATIN, CYRILLIC, GREEK, ARMENIAN = 0, 1, 2, 3
-_TWINS = {CYRILLIC: CYRILLIC_TWINS, GREEK: GREEK_TWINS, ARMENIAN: ARMENIAN_TWINS}
+
+
+def _with_marks(twins: dict[str, str], low: int, high: int) -> dict[str, str]:
+    """The letters named, and those that are one of them with marks that its Latin look-alike has, too."""
+    out = dict(twins)
+    for cp in range(low, high):
+        apart = unicodedata.normalize("NFD", chr(cp))
+        if len(apart) > 1 and apart[0] in twins:
+            latin = unicodedata.normalize("NFC", twins[apart[0]] + apart[1:])
+            if len(latin) == 1 and ord(latin) < 0x250:
+                out.setdefault(chr(cp), latin)
+    return out
+
+
+_TWINS = {CYRILLIC: _with_marks(CYRILLIC_TWINS, 0x400, 0x530), GREEK: _with_marks(GREEK_TWINS, 0x370, 0x400), ARMENIAN: ARMENIAN_TWINS}
 #: Blocks of the scripts that share letter shapes.
 _BLOCKS = {LATIN: [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)], GREEK: [(0x370, 0x3FF)], CYRILLIC: [(0x400, 0x52F)], ARMENIAN: [(0x531, 0x587)]}
 
