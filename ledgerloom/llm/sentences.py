@@ -25,8 +25,9 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 _HELD = 1 << 18  # n-grams that a task holds before it sends their counts
 TABLES = ("place", "end", "start", "middle")
@@ -37,10 +38,13 @@ _LINE = re.compile(_BREAK)
 _BULLET = re.compile(r"\s*[-*+•‣◦▪·–—]\s+\S")
 _NUMBERED = re.compile(r"\s*[(]?(\d{1,3}|[a-zA-Z])[.)]\s+\S")
 _HEADING = re.compile(r"\s*#{1,6}\s+\S")
-_MARK = re.compile(r"[.!?…‥。！？।॥؟۔｡．]+(?:\s[!?]+)?")
-_ALWAYS = "!?。！？।॥؟۔｡．"
+_MARK = re.compile(r"[.!?…‥。！？।॥؟۔｡．။។៕]+(?:\s[!?]+)?")
+_ALWAYS = "!?。！？।॥؟۔｡．။។៕"
 _NO_SPACE = re.compile("[\u3040-ヿ㐀-鿿豈-\ufaff\u3000-〿\uff00-\uffef]")
-_THAI = re.compile(r"[\u0e00-\u0e7f]\s+(?=\S)")
+#: Letters of scripts without spaces between words and mostly without end marks: Thai, Lao, Burmese, Khmer.
+_OPEN = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+#: A space behind or before such a letter.
+_THAI = re.compile(rf"[{_OPEN}]\s+(?=\S)|[^\s.!?…](?P<gap>\s+)(?=[{_OPEN}])")
 _EMOJI = re.compile(r"(?:\s*[\U0001F000-\U0001FAFF☀-➿⬀-⯿️\u200d⃣\U000E0020-\U000E007F]+)+")
 _BEFORE = re.compile(r"[^\s\"“”„«»「」『』｢｣()（）\[\]¿¡,;:]*$")
 _TOKEN = re.compile(r"\S+")
@@ -48,6 +52,7 @@ _EDGE = "\"“”„«»「」『』｢｣()（）[]¿¡,;:'’‘"
 # What opens a quotation or bracket, and what may close it.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "｢": "｣", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉"}
 _CLOSERS = set("".join(PAIRS.values()))
+_SIGNS = re.compile("[" + re.escape('"' + "".join(PAIRS) + "".join(PAIRS.values())) + "]")
 _WORD = re.compile(r"\w+")
 
 
@@ -67,7 +72,8 @@ def spans(text: str) -> list[tuple[int, int]]:
     """Outermost quotations and brackets of a paragraph as (opening, closing) offsets; unmatched signs are none."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    for i, ch in enumerate(text):
+    for m in _SIGNS.finditer(text):
+        i, ch = m.start(), m.group()
         if ch == '"':
             if any(c == '"' for c, _ in stack):
                 while stack[-1][0] != '"':
@@ -179,7 +185,7 @@ def places(text: str) -> tuple[list[Place], bool]:
         if kind == "sure":
             one = two = _script(text, m.start())
         out.append(_place(kind, one, two, text, at))
-    for m in _THAI.finditer(text):
+    for m in _THAI.finditer(text) if _THAI_LETTER.search(text) else ():
         at = m.start() + 1
         if not inside(at) and text[m.end()] not in _CLOSERS:
             one = text[max(0, at - 4) : at]
@@ -197,7 +203,7 @@ def _place(kind: str, one: str, two: str, text: str, at: int) -> Place:
     return Place(kind, f"{kind}1 {one}", f"{kind}2 {two}", after, at, nxt)
 
 
-_THAI_LETTER = re.compile("[\u0e00-\u0e7f]")
+_THAI_LETTER = re.compile(f"[{_OPEN}]")
 
 
 def _first(token: str, flat: bool) -> str:
@@ -214,7 +220,7 @@ def _script(text: str, at: int) -> str:
     for ch in reversed(text[max(0, at - 12) : at]):
         if ch.isalpha():
             cp = ord(ch)
-            return "lat" if cp < 0x370 else "cyr" if cp < 0x530 else "ara" if cp < 0x900 else "ind" if cp < 0xE00 else "tha" if cp < 0xE80 else "han" if cp < 0xAC00 else "kor"
+            return "lat" if cp < 0x370 else "cyr" if cp < 0x530 else "ara" if cp < 0x900 else "ind" if cp < 0xE00 else "tha" if cp < 0x1100 else "han" if cp < 0xAC00 else "kor"
     return "non"
 
 
@@ -402,6 +408,54 @@ def _add(a: float, b: float) -> float:
     return a + log(1 + exp(b - a)) if a - b < 30 else a
 
 
+_FILTER_BITS = 1 << 24
+_CHUNK = 1 << 16
+
+
+def _repeated(docs: DataFrame, text_column: str) -> Column:
+    """A column that is true for every text that has a copy in another row, and for few others: hashes of texts that occur more than once are put into a Bloom
+    filter of one size (2 MB) whatever the collection. Where very many texts have copies, it says true more often."""
+    hashes = docs.where(F.col(text_column).isNotNull()).groupBy(F.xxhash64(text_column).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_FILTER_BITS, bool)
+        for batch in batches:
+            for place in _filter_places(batch.column(0).to_numpy()):
+                bits[place] = True
+        used = [i for i in range(0, _FILTER_BITS, _CHUNK) if bits[i : i + _CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // _CHUNK for i in used], pa.int32()), pa.array([np.packbits(bits[i : i + _CHUNK]).tobytes() for i in used], pa.binary())], names=["chunk", "bits"])
+
+    bits = np.zeros(_FILTER_BITS // 8, np.uint8)
+    # at most 256 chunks of 8 KB
+    merged = hashes.mapInArrow(put, "chunk int, bits binary").repartition("chunk").mapInArrow(_either, "chunk int, bits binary")
+    for row in merged.collect():
+        at = row["chunk"] * _CHUNK // 8
+        bits[at : at + _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf(BooleanType())
+    def seen(batch: pa.Array) -> pa.Array:
+        out = np.ones(len(batch), bool)
+        for place in _filter_places(batch.to_numpy()):
+            out &= (sent.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+        return pa.array(out)
+
+    return seen(F.xxhash64(text_column))
+
+
+def _filter_places(hashes: np.ndarray) -> list[np.ndarray]:
+    h = hashes.view(np.uint64)
+    return [((h >> np.uint64(shift)) % np.uint64(_FILTER_BITS)).astype(np.int64) for shift in (0, 26, 40)]
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[chunk] = sums.get(chunk, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "bits"])
+
+
 def learn_events(docs: DataFrame, text_column: str = "text") -> EventModel:
     """The model of all texts, each different text counted once: copies of one text would make its words look as if they ended no
     sentence. Tasks send what they counted by fingerprint, to be summed by shuffle; the driver gets one number for each different
@@ -424,8 +478,12 @@ def learn_events(docs: DataFrame, text_column: str = "text") -> EventModel:
                         yield rows(counts)
         yield rows(counts)
 
-    texts = docs.select(text_column).where(F.col(text_column).isNotNull()).distinct()
-    sums = texts.mapInArrow(count, "part tinyint, shape tinyint, gram bigint, n bigint").groupBy("part", "gram").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    rows_of = docs.select(text_column).where(F.col(text_column).isNotNull()).withColumn("seen", _repeated(docs, text_column))
+    kind = "part tinyint, shape tinyint, gram bigint, n bigint"
+    # texts that certainly have no copy are counted where they are; only the others are shuffled
+    once = rows_of.where("not seen").select(text_column).mapInArrow(count, kind)
+    copies = rows_of.where("seen").select(text_column).distinct().mapInArrow(count, kind)
+    sums = once.unionByName(copies).groupBy("part", "gram").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
     part, gram, shape, n = (column.to_numpy() for column in sums.select("part", "gram", "shape", "n").toArrow().columns)
     return EventModel({name: Counts(gram[part == t], n[part == t], shape[part == t]) for t, name in enumerate(TABLES)})
 

@@ -202,6 +202,13 @@ def test_units(model, text, units):
     assert [text[a:b] for a, b in model.units(text)] == units
 
 
+def test_spaces_of_scripts_without_marks_are_places():
+    for text in ("ວັນນີ້ດີ ພວກເຮົາໄປ", "ថ្ងៃនេះល្អ យើងទៅ", "ราคา 20 บาท เราไป", "รุ่น X5 เราไป"):
+        found, _ = sentences.places(text)
+        assert [p.at for p in found if p.kind == "thai"] == [k for k, ch in enumerate(text) if ch == " "]
+    assert [p.at for p in sentences.places("ဒီနေ့ကောင်းတယ်။ သွားမယ်။")[0] if p.kind == "sure"] == [15, 24]
+
+
 def test_units_of_documents(spark, model):
     docs = _docs(spark, [(1, None), (2, ""), (3, "The cat sat. It ate."), (3, "The cat sat. It ate."), (None, "We left"), (5, "The cat sat. " * 20_000)])
     got = sentences.sentence_units(docs, model).collect()
