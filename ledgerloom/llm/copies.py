@@ -110,19 +110,22 @@ def _first_at(where: np.ndarray, by: np.ndarray, n: int, none: np.ndarray) -> np
 
 def _list_keys(chars: Chars) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """(whether, hashes): texts that are lists of two or more `label: value` fields, and the hashes that leave the fields' order out."""
-    code, doc = chars.code, chars.doc
-    cut = np.isin(code, [ord(x) for x in "|;\r\n"])
+    # only texts with a colon and a sign between fields
+    colons, cuts = (np.bincount(chars.doc[np.isin(chars.code, list(map(ord, signs)))], minlength=chars.n) > 0 for signs in (":", "|;\r\n"))
+    at = np.nonzero((colons & cuts)[chars.doc])[0]
+    code, doc, flags = chars.code[at], chars.doc[at], chars.flags[at]
+    cut = np.isin(code, list(map(ord, "|;\r\n")))
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | cut[1:] | cut[:-1]
     part = np.cumsum(fresh) - 1
     m = int(part[-1]) + 1 if len(part) else 0
     owner = doc[fresh]
-    shown = ((chars.flags & SPACE) == 0) & ~cut
+    shown = ((flags & SPACE) == 0) & ~cut
     far = np.full(m, len(code))
     colon = _first_at((code == ord(":")) & ~cut, part, m, far)
     place = np.arange(len(code))
     is_part = _sums(shown, m, part) > 0
-    label = _sums(((chars.flags & WORD) != 0) & (place < colon[part]), m, part) > 0
+    label = _sums(((flags & WORD) != 0) & (place < colon[part]), m, part) > 0
     value = _sums(shown & (place > colon[part]), m, part) > 0
     good = is_part & label & value & (colon < len(code))
     parts, fields = np.bincount(owner[is_part], minlength=chars.n), np.bincount(owner[good], minlength=chars.n)
@@ -132,7 +135,9 @@ def _list_keys(chars: Chars) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]
         return whole, (np.zeros(chars.n, np.uint64), np.zeros(chars.n, np.uint64))
     number = np.full(m, -1)
     number[own] = np.arange(len(own))
-    hashes = WordStreams(chars, docs=number[part], n=len(own), keep=number[part] >= 0).text_hashes()
+    docs = np.full(len(chars.code), -1)
+    docs[at] = number[part]
+    hashes = WordStreams(chars, docs=docs, n=len(own), keep=docs >= 0).text_hashes()
     return whole, weighted_sums(hashes, owner[own], np.ones(len(own), np.uint64), chars.n)
 
 

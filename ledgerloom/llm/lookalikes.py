@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.plainform import NO_SCORES, ScriptScores, plain_column
+from ledgerloom.operators.scratch import Scratch
 
 #: Something that shows.
 _VISIBLE = r"[^\s\p{Z}\p{C}]"
@@ -16,12 +17,23 @@ def not_blank(value: Column) -> Column:
     return F.coalesce(value.rlike(_VISIBLE), F.lit(False))
 
 
-def _equal_looking_pairs(rows: DataFrame, fields: tuple[str, ...], scores: ScriptScores) -> DataFrame:
+_SALTS = 1024
+
+
+def form_members(rows: DataFrame, scratch: Scratch, scores: ScriptScores = NO_SCORES, fields: tuple[str, ...] = ("captured_text", "url")) -> DataFrame:
+    """(field, form, stored, id): records of the plain forms that several stored values have, as hashes. One row for each record and stored value; this is the
+    membership that pairs come from, in size proportional to the rows however many look the same."""
     values = rows.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("id", "x.field", "x.value").where(not_blank(F.col("value")))
-    members = values.select("field", "id", F.md5(plain_column(F.col("value"), scores)).alias("form"), F.xxhash64("value").alias("stored"))
-    # Only forms with several stored values go on; the pairs are made of stored values, and then of their records.
-    mixed = members.groupBy("field", "form").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("field", "form")
-    members = members.join(mixed, ["field", "form"]).distinct()
+    # the plain form is made once; a form that very many records have is spread over salts
+    members = scratch.save(values.select("field", "id", F.md5(plain_column(F.col("value"), scores)).alias("form"), F.xxhash64("value").alias("stored"), F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt")))
+    parts = members.groupBy("field", "form", "salt").agg(F.min("stored").alias("low"), F.max("stored").alias("high"))
+    mixed = parts.groupBy("field", "form").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("salt").alias("salts")).where("low <> high")  # at most _SALTS rows a form
+    return members.join(mixed.select("field", "form", F.explode("salts").alias("salt")), ["field", "form", "salt"], "left_semi").select("field", "form", "stored", "id").distinct()
+
+
+def _equal_looking_pairs(rows: DataFrame, scratch: Scratch, fields: tuple[str, ...], scores: ScriptScores) -> DataFrame:
+    # Pairs are made of stored values, and then of their records.
+    members = scratch.save(form_members(rows, scratch, scores, fields))
     kinds = members.select("field", "form", "stored").distinct()
     pairs = kinds.withColumnRenamed("stored", "s1").join(kinds.withColumnRenamed("stored", "s2"), ["field", "form"]).where("s1 < s2")
     one = members.select("field", "form", F.col("stored").alias("s1"), F.col("id").alias("x"))
@@ -37,16 +49,16 @@ def _hidden_excerpts(rows: DataFrame, text: str, excerpt: str, scores: ScriptSco
     return apart.where(F.contains(plain_column(F.col(text), scores), plain_column(F.col(excerpt), scores))).select(F.lit(excerpt).alias("field"), F.col("id").alias("id_a"), F.col("id").alias("id_b")).distinct()
 
 
-def equal_looking(rows: DataFrame, scores: ScriptScores = NO_SCORES, fields: tuple[str, ...] = ("captured_text", "url"), text: str = "captured_text", excerpt: str = "excerpt") -> DataFrame:
+def equal_looking(rows: DataFrame, scratch: Scratch, scores: ScriptScores = NO_SCORES, fields: tuple[str, ...] = ("captured_text", "url"), text: str = "captured_text", excerpt: str = "excerpt") -> DataFrame:
     """(field, id_a, id_b): see p1_found in TESTDATA.md.
 
     For each of `fields`: pairs of different records, id_a < id_b, whose stored values differ and have one plain form. For `excerpt`:
     records (id_a = id_b) whose stored excerpt is no part of the stored text, though its plain form is part of the text's.
     Null and blank values, and rows without an id, are never a case; repeated deliveries are one record; other columns are not read.
-    Only hashes of the values are shuffled.
+    Only hashes of the values are shuffled. The result has all pairs, as the query asks for them; form_members() has the same without pairs.
     """
     rows = rows.where(F.col("id").isNotNull())
-    return _equal_looking_pairs(rows, fields, scores).unionByName(_hidden_excerpts(rows, text, excerpt, scores))
+    return _equal_looking_pairs(rows, scratch, fields, scores).unionByName(_hidden_excerpts(rows, text, excerpt, scores))
 
 
 def plain_values(rows: DataFrame, fields: tuple[str, ...], scores: ScriptScores = NO_SCORES) -> DataFrame:

@@ -90,11 +90,21 @@ def _single() -> dict[int, str | None]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that may compose with one before them: marks, and what stands second in a canonical decomposition (vowels and finals of Hangul, too)."""
+    out = {chr(cp) for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))} | {chr(cp) for cp in range(0x1161, 0x11C3)}
+    for cp in range(0xC0, 0x20000):
+        if not 0xAC00 <= cp < 0xE000:
+            out.update(unicodedata.normalize("NFD", chr(cp))[1:])
+    return frozenset(out)
+
+
 @lru_cache(maxsize=1)
 def _changing() -> re.Pattern:
     """Any character that _single() changes, or that composes with one before it."""
     parts, run = [], None
-    codes = sorted({*_single(), *range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x610, 0x61B), *range(0x64B, 0x660), *range(0x93C, 0x93D), *range(0x1AB0, 0x1AFF), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20FF), 0x3099, 0x309A, 0x212A, 0x212B, 0x2126, *range(0xF900, 0xFB00)})
+    codes = sorted({*_single(), *map(ord, _joining()), 0x212A, 0x212B, 0x2126, *range(0xF900, 0xFB00)})
     for cp in [*codes, sys.maxunicode + 1]:
         if run and cp == run[1] + 1:
             run[1] = cp
@@ -107,7 +117,7 @@ def _changing() -> re.Pattern:
 
 @lru_cache(maxsize=1)
 def _combining() -> re.Pattern:
-    return re.compile("[" + "".join(chr(cp) for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))) + "]")
+    return re.compile("[" + "".join(sorted(_joining())) + "]")
 
 
 def _all_letters() -> tuple[dict[str, int], dict[str, dict[int, str]]]:
@@ -238,6 +248,7 @@ def plain_with_offsets(text: str, scores: ScriptScores = NO_SCORES) -> tuple[str
         offsets.extend(range(at, len(text)))
         if len(offsets) == len(form):
             return form, offsets
+    joining = _joining()
     units: list[tuple[str, int]] = []
     for i, ch in enumerate(text):
         to = single.get(ord(ch), ch)
@@ -246,7 +257,7 @@ def plain_with_offsets(text: str, scores: ScriptScores = NO_SCORES) -> tuple[str
     chars, offsets, k = [], [], 0
     while k < len(units):
         end = k + 1
-        while end < len(units) and (unicodedata.combining(units[end][0]) or units[end][0] in "゙゚"):
+        while end < len(units) and units[end][0] in joining:
             end += 1
         if end == k + 1 and units[k][0] < "̀":
             chars.append(units[k][0])

@@ -14,7 +14,7 @@ RANK_FILE = bpe.default_rank_file()
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     ledger = read_table(spark, folder, "source_ledger")
-    return lookalikes.equal_looking(ledger, plainform.learn_script_scores(ledger, "captured_text"))
+    return lookalikes.equal_looking(ledger, Scratch(spark), plainform.learn_script_scores(ledger, "captured_text"))
 
 
 def p1_plain(spark: SparkSession, folder: str) -> DataFrame:

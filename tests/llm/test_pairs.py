@@ -2,9 +2,13 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ledgerloom.llm import components, copies, neardup
+from ledgerloom.llm.copies import _WORD, url_keys, url_parts
 from ledgerloom.llm.plainform import plain
+from ledgerloom.llm.textstream import WordStreams
 from ledgerloom.operators.scratch import Scratch
 
 TEXTS = "id string, captured_text string, url string, class string, key string, text string"
@@ -177,3 +181,33 @@ def test_sets_of_few_shingles(spark):
     rows += [(f"f{k}", " ".join((["a", "b", "c", "d"] * 12)[:k]), None) for k in (30, 35, 36)] + [("g", " ".join((["a", "b", "c", "d"] * 12)[:36] + ["e"]), None)]
     assert len(_brute(rows)) > 8
     assert _found(spark, rows) == _brute(rows) == _found(spark, rows, list_limit=2)
+
+
+@pytest.mark.parametrize(
+    "a, b",
+    [("Ｗｉｄｅ　text", "Wide text"), ("caf\u0065\u0301", "café"), ("fusiόn aqui", "fusión aqui"), ("ﬁne‑tuned", "fine-tuned"), ("z\u200bero", "zero"), ("Рrоblеm solved", "Problem solved"), ("привет BОТ", "привет ВОТ"), ("𝐁old", "Bold"), ("한글", "\u1112\u1161\u11ab\u1100\u1173\u11af")],
+)
+def test_streams_of_equal_looking_texts_are_equal(a, b):
+    one, two = (list(zip(*map(list, WordStreams([x]).text_hashes()))) for x in (a, b))
+    assert one == two and [w.lower() for w in _WORD.findall(plain(a))] == [w.lower() for w in _WORD.findall(plain(b))]
+
+
+def test_streams_keep_what_differs():
+    texts = ["vow", "now", "resume", "résumé", "bot", "вот", "a b", "ab", "ab c", "a bc", ""]
+    assert len(set(zip(*map(list, WordStreams(texts).text_hashes())))) == len(texts)
+
+
+URL_PARTS = st.lists(st.sampled_from(["http", "HTTPS", "ftp:", ":", "//", "/", "a.example", ":80", ":443", "[::1]", "?", "&", "x=1", "y=2", "#", "f", " ", "\t", "Ｋ", "é", "mailto:", "1+", "b"]), max_size=10).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(urls=st.lists(URL_PARTS, min_size=2, max_size=6))
+def test_the_state_machine_parts_urls_as_the_plain_way_does(urls):
+    def parts(url):
+        found = url_parts(plain(url))
+        return [p for p in found if p[0] != 3], sorted(p for p in found if p[0] == 3)
+
+    keys = url_keys(urls)
+    for i, a in enumerate(urls):
+        for j, b in enumerate(urls):
+            assert (keys[i] == keys[j]) == (parts(a) == parts(b)), (a, b)

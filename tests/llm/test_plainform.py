@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import lookalikes
 from ledgerloom.llm.plainform import UNTOUCHED, learn_script_scores, plain, plain_with_offsets
+from ledgerloom.operators.scratch import Scratch
 
 SCHEMA = "id string, captured_text string, excerpt string, url string, field string, form string, value string"
 
@@ -74,13 +75,13 @@ def test_pairs_excerpts_nulls_and_repeats(spark):
         ("a", "Ｈello", "Hello", "http://x"), ("b", "Hello", None, "http://х"), ("c", "Hello", "Nope", None), ("c", "Hello", "Nope", None),
         ("d", None, "x", ""), ("e", "   ", None, " "), ("f", "​", None, None), (None, "Hеllo", None, None), ("g", "Hеllо there", "Hello", None),
     ])
-    got = {tuple(r) for r in lookalikes.equal_looking(rows).collect()}
+    got = {tuple(r) for r in lookalikes.equal_looking(rows, Scratch(spark)).collect()}
     assert got == {("captured_text", "a", "b"), ("captured_text", "a", "c"), ("url", "a", "b"), ("excerpt", "a", "a"), ("excerpt", "g", "g")}
 
 
 def test_empty_table_and_learning(spark):
     none = _rows(spark, []) if False else spark.createDataFrame([], SCHEMA)
-    assert lookalikes.equal_looking(none, learn_script_scores(none, "captured_text")).count() == 0
+    assert lookalikes.equal_looking(none, Scratch(spark), learn_script_scores(none, "captured_text")).count() == 0
     rows = _rows(spark, [("a", "the cat sat " * 50, None, None), ("b", None, None, None), ("c", "", None, None)])
     scores = learn_script_scores(rows, "captured_text")
     assert scores.log[0, "t", "h"] > scores.log.get((0, "t", "x"), -99)
