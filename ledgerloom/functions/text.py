@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -13,8 +14,11 @@ from pyspark.sql.types import StringType
 #: The white space that counts, whatever the engine's own tables say.
 WHITE_SPACE = r"[\x09-\x0d\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACES = re.compile(WHITE_SPACE + "+")
+_ASCII_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 #: What counts as an address of mail or a telephone number in text that is made public.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9])"
+EMAIL = r"(?<![A-Za-z0-9_])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])"
+PHONE = r"(?<![A-Za-z0-9_])(?:\+?[0-9][0-9 .()\-]{7,}[0-9])(?![A-Za-z0-9_])"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 BIDI = r"[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]"
 
@@ -70,8 +74,19 @@ def platform(text: Column) -> Column:
     return F.when(name == "hn", "hackernews").otherwise(name)
 
 
+def label_of(text: str) -> str:
+    """label() of one string on the driver or in a batch."""
+    return _SPACES.sub(" ", unicodedata.ucd_3_2_0.normalize("NFKC", text)).strip(" ").translate(_ASCII_LOWER)
+
+
+def platform_of(text: str) -> str:
+    """platform() of one string."""
+    name = label_of(text)
+    return "hackernews" if name == "hn" else name
+
+
 def duplicate_text_key(text: Column) -> Column:
-    """Texts of one key are the same text."""
+    """Texts of one key are the same text: compatibility form, white space as one space, then entities decoded, ASCII lower case."""
     return ascii_lower(html_unescape(normalise(text)))
 
 

@@ -37,30 +37,48 @@ def declared_links(records: DataFrame) -> DataFrame:
     return reposts.unionByName(reviews).where(F.col("key").isNotNull()).join(known, "key").where("a <> b").select("a", "b", "reason")
 
 
+def lookup(rows: DataFrame, key: str, table: DataFrame, other: str, salts: int = 256) -> DataFrame:
+    """rows joined with a table that has one row for each key. A key may have any share of the rows: its table row is sent to as many salts as its
+    rows have, at most `salts`, so neither side gathers it."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    spread = salted.select(key, "salt").distinct().join(table, key)
+    return salted.join(spread, [key, "salt"]).drop("salt")
+
+
+def _star(links: DataFrame, both_ways: bool) -> DataFrame:
+    """(b, a), b > a: every node's neighbours linked to the smallest node among them and itself; of each node all larger neighbours (both_ways), or the smaller ones and itself."""
+    near = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    if both_ways:
+        near = near.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    met = lookup(near, "u", least, "v")
+    if both_ways:
+        moved = met.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+    else:
+        moved = met.select(F.col("v").alias("b"), F.col("m").alias("a")).unionByName(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
+    return moved.where("b <> a").distinct()
+
+
 def spread_labels(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id linked to each id, directly or through others.
 
-    Each round takes the smallest label among a record's neighbours, then the label of that label (pointer jumping), so
-    long chains shorten by more than one link a round. Labels are written to the shared folder; rounds end when none changes.
+    The two star rewrites alternate until nothing changes, which takes a number of rounds logarithmic in the length of chains. Hubs are split by lookup(); what
+    a round made is written to the shared folder once. Rows that link an id with itself or with null don't count.
     """
-    both = scratch.save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"))
+    now = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct())
+    state = None
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        jump = labels.select(F.col("id").alias("at"), F.col("root").alias("next"))
-        found = labels.withColumnRenamed("root", "was").join(near, F.col("id") == F.col("a")).join(jump, F.col("was") == F.col("at"), "left")
-        after = scratch.save(found.select("id", F.least("was", "near", "next").alias("root"), "was"))
-        changed = not after.where("root <> was").isEmpty()
-        scratch.drop(labels)
-        labels = after.select("id", "root")
-        labels.scratch_path = after.scratch_path
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        after = scratch.save(_star(_star(now, True), False))
+        scratch.drop(now)
+        now = after
+        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if was == state:
+            return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+    raise RuntimeError(f"links still change after {max_rounds} rounds")
 
 
 def representatives(records: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, representative, members): the record that stands for each group of several.
+    """(root, representative, members, private): the record that stands for each group of several, and whether a member isn't public.
 
     It is the origin of a repost inside the group, else the earliest published one, else the smallest id; in groups with a record that isn't public
     it is the smallest id, so that nothing about the order of private records shows.
@@ -72,7 +90,7 @@ def representatives(records: DataFrame, roots: DataFrame) -> DataFrame:
     return (
         members.groupBy("root")
         .agg(F.min_by("id", order).alias("first"), F.min("id").alias("least"), F.count("*").alias("members"), F.max(F.col("visibility") != "public").alias("private"))
-        .select("root", F.when(F.col("private"), F.col("least")).otherwise(F.col("first")).alias("representative"), "members")
+        .select("root", F.when(F.col("private"), F.col("least")).otherwise(F.col("first")).alias("representative"), "members", "private")
     )
 
 
@@ -114,13 +132,23 @@ def conflicting_units(records: DataFrame, key: str, fields: tuple[str, ...]) ->
     )
 
 
-def short_text_pairs(records: DataFrame, roots: DataFrame, key: Column, words: Column, least: int = 20, most: int = 79, least_words: int = 4) -> DataFrame:
-    """(a, b): of each short text that records of several groups share, the smallest ids of its two first groups, for somebody to review.
+def private_conflicts(records: DataFrame, key: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """(first_id, records): records that aren't public and have one provenance, but not the same content. Which fields differ is withheld. Records without
+    the whole provenance don't count. Groups are compared by hashes of their fields, pre-aggregated."""
+    own = records.where(F.col("visibility") == "supplied_private")
+    for c in key:
+        own = own.where(F.coalesce(F.col(c), F.lit("")) != "")
+    content = F.xxhash64(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    by = own.groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("records"), F.min(content).alias("low"), F.max(content).alias("high"))
+    return by.where("low <> high").select("first_id", "records")
+
+
+def short_text_pairs(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): of each short text (id, key) that records of several groups share, the smallest ids of its two first groups, for somebody to review.
 
     Too short a text to link its records by itself. Two aggregates find the pair, so a text that very many records share isn't gathered.
     """
-    own = records.select("id", key.alias("key"), words.alias("words")).where((F.length("key") >= least) & (F.length("key") <= most) & (F.col("words") >= least_words))
-    placed = own.join(roots.select("id", "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    placed = keyed.select("id", "key").join(roots.select("id", "root"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
     heads = placed.groupBy("key", "root").agg(F.min("id").alias("id"))
     first = heads.groupBy("key").agg(F.min_by("root", "id").alias("first_root"), F.min("id").alias("a"))
     return heads.join(first, "key").where("root <> first_root").groupBy("key", "a").agg(F.min("id").alias("b")).select("a", "b")

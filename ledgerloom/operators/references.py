@@ -78,7 +78,9 @@ def child_references(tables: dict[str, DataFrame], references=LEDGER_REFERENCES)
 
 
 def _month(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    """The UTC month, whatever the session's time zone: months counted from the epoch's seconds."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+    return F.date_format(day, "yyyy-MM")
 
 
 def orphan_references(tables: dict[str, DataFrame], retracted: DataFrame, references=LEDGER_REFERENCES, salts: int = 16) -> DataFrame:
@@ -86,7 +88,7 @@ def orphan_references(tables: dict[str, DataFrame], retracted: DataFrame, refere
 
     tables: name -> rows with id, loaded_at and the reference fields; extra columns are not read.
     retracted: (table_name, id). reason: `deleted`, `missing` or `late`; period: the UTC month of the record's
-    first load (the session's time zone must be UTC), null where no load time is known. A reference whose record or
+    first load, null where no load time is known. A reference whose record or
     target has no load time is never late. Empty tables give an empty result.
 
     One target may hold any share of the references: groups are aggregated map-side, and the labels are

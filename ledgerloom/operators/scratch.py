@@ -1,8 +1,8 @@
 """Tables written in the shared folder to cut lineage.
 
 A written table survives the loss of executors, is columnar, and brings its real size to the planner, so
-that later joins are planned from facts. The folder is the one named in spark.checkpoint.dir; only where that
-is unset (tests, notebooks) a temporary folder of the driver is used.
+that later joins are planned from facts. The folder is the one named in spark.checkpoint.dir; only in local mode, where one
+machine does all, it may be unset: a temporary folder is used then.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         self.folder = f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
         self._n = 0

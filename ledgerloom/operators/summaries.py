@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +33,30 @@ def ranked(rows: DataFrame, group: str, order: list[Column], most: int) -> DataF
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, fingerprint): a hash of the set of rows that doesn't depend on their order or partitions. Rows are hashed by themselves; their hashes, grouped
-    by two hex digits, are hashed in order, and so are the 256 results."""
-    row = F.sha2(F.concat_ws("\x1e", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
-    parts = rows.select(row.alias("h"))
-    # sums of the hashes' four parts: associative, so partial sums are taken before the shuffle
-    words = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for k in range(8)]
-    return parts.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(";", *words), 256).alias("fingerprint"))
+    """(n, fingerprint): a hash of the multiset of rows that doesn't depend on their order or partitions.
+
+    A row is the text of its columns, each with its length before it (`n` for null), hashed. The rows' hashes are put into 4,096 groups by their first three hex digits; each group flows through one task
+    in order and is hashed as it passes, never held; the groups' hashes are hashed in order. An empty table has a fingerprint, too."""
+    text = lambda c: F.col(c).cast("string")
+    row = F.concat(*(F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("n")) for c in columns))
+    hashed = rows.select(F.sha2(row, 256).alias("h")).withColumn("part", F.substring("h", 1, 3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, digest, n = None, None, 0
+        done = []
+        for batch in batches:
+            for name, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != part:
+                    if part is not None:
+                        done.append((part, digest.hexdigest(), n))
+                    part, digest, n = name, hashlib.sha256(), 0
+                digest.update(h.encode())
+                n += 1
+        if part is not None:
+            done.append((part, digest.hexdigest(), n))
+        columns = list(zip(*done)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["part", "digest", "n"])
+
+    parts = hashed.repartition("part").sortWithinPartitions("part", "h").select("part", "h").mapInArrow(run, "part string, digest string, n bigint")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat(x.part, x.digest)), "")  # 4,096 rows
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(whole, 256).alias("fingerprint"))

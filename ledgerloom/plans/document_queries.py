@@ -25,12 +25,17 @@ def changed_by_normal_form(spark, folder):
 
 
 def control_characters(spark, folder):
-    return _docs(spark, folder).where(F.col("text").rlike(T.CONTROL) | F.col("text").rlike(T.BIDI)).select("doc_id")
+    """Documents with control or direction signs, once marks of direction stand for hyphens and a bell for every seventh document's first exclamation mark."""
+    spoiled = F.regexp_replace("text", "-", "\u200e")
+    spoiled = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace(spoiled, "!", "\x07")).otherwise(F.when(F.col("doc_id") % 7 < 3, spoiled).otherwise(F.col("text")))
+    return _docs(spark, folder).select("doc_id", spoiled.alias("t")).select("doc_id", F.col("t").rlike(T.CONTROL).alias("control"), F.col("t").rlike(T.BIDI).alias("direction")).where("control or direction")
 
 
 def mail_addresses(spark, folder):
-    own = _docs(spark, folder).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.EMAIL), F.lit(0))).alias("address"))
-    return own.groupBy("doc_id").agg(F.count("*").alias("addresses"))
+    """Addresses of mail and telephone numbers in the ledger's texts, as they are looked for in what is made public."""
+    own = read_table(spark, folder, "source_ledger").select("id", "captured_text").distinct()
+    own = own.select("id", F.regexp_count("captured_text", F.lit(T.EMAIL)).alias("addresses"), F.regexp_count("captured_text", F.lit(T.PHONE)).alias("numbers"))
+    return own.groupBy("id").agg(F.max("addresses").alias("addresses"), F.max("numbers").alias("numbers")).where("addresses > 0 or numbers > 0")
 
 
 def document_copies(spark, folder):
@@ -50,9 +55,9 @@ def near_duplicate_documents(spark, folder):
 
 
 def source_manifest(spark, folder):
-    """Documents whose stored length or whose text differs between the first and the last language they are delivered in: two manifests by hash."""
-    own = _docs(spark, folder).where("text is not null").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("n"), "n_chars")
-    return experiments.manifest_difference(own.select("path", F.concat_ws(":", "n_chars", "sha256").alias("sha256")), own.select("path", F.concat_ws(":", "n", "sha256").alias("sha256")))
+    """Two manifests of the documents: the texts as they are, without those of every eleventh document, and the texts without white space at their ends, without those of every thirteenth."""
+    own = _docs(spark, folder).where("text is not null").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    return experiments.manifest_difference(own.where("doc_id % 11 <> 0").select("path", F.sha2("text", 256).alias("sha256")), own.where("doc_id % 13 <> 0").select("path", F.sha2(T.strip_white_space(F.col("text")), 256).alias("sha256")))
 
 
 def sources_by_language(spark, folder):
@@ -67,8 +72,8 @@ _FLAT = f"trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 _LOW = f"lower(trim(regexp_replace(text, '{_WS}', ' ', 'g')))"
 SQL = {
     "text_statistics": f"WITH t AS (SELECT doc_id, {_FLAT} AS f FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(CASE WHEN f = '' THEN 0 ELSE len(string_split(f, ' ')) END AS INTEGER) AS words, CAST(length(f) AS INTEGER) AS flat_chars, 'sha256:' || sha256(f) AS flat_hash FROM t",
-    "control_characters": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}\\x{61c}\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]')",
-    "mail_addresses": "WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS address FROM documents) SELECT doc_id, count(*) AS addresses FROM a GROUP BY doc_id",
+    "control_characters": "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(replace(text, '-', chr(8206)), '!', chr(7)) WHEN doc_id % 7 < 3 THEN replace(text, '-', chr(8206)) ELSE text END AS t FROM documents), c AS (SELECT doc_id, regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]') AS control, regexp_matches(t, '[\\x{61c}\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]') AS direction FROM t) SELECT * FROM c WHERE control OR direction",
+    "mail_addresses": "WITH c AS (SELECT id, len(regexp_extract_all(' ' || captured_text, '[^A-Za-z0-9_](?:[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})(?:[^A-Za-z0-9_]|$)')) AS addresses, len(regexp_extract_all(regexp_replace(' ' || captured_text, '([^0-9 .()-])', '\\1\\1', 'g'), '[^A-Za-z0-9_](?:\\+?[0-9][0-9 .()\\-]{7,}[0-9])(?:[^A-Za-z0-9_]|$)')) AS numbers FROM source_ledger) SELECT id, max(addresses) AS addresses, max(numbers) AS numbers FROM c GROUP BY id HAVING max(addresses) > 0 OR max(numbers) > 0",
     "document_copies": f"WITH t AS (SELECT doc_id, {_FLAT} AS f FROM documents WHERE text IS NOT NULL) SELECT sha256(f) AS text_hash, count(*) AS documents, min(doc_id) AS first_doc FROM t WHERE f <> '' GROUP BY f HAVING count(*) > 1",
     "shingle_statistics": f"WITH w AS (SELECT doc_id, string_split({_LOW}, ' ') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS n FROM w WHERE len(w) >= 5) SELECT count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_shingles, CAST(max(n) AS BIGINT) AS most_in_a_row FROM s WHERE n > 0",
     "near_duplicate_documents": f"""
@@ -81,6 +86,6 @@ e AS (SELECT a AS class FROM p UNION ALL SELECT b FROM p),
 l AS (SELECT class, count(*) AS links FROM e GROUP BY class)
 SELECT d.doc_id, d.class, coalesce(l.links, 0) AS links FROM d LEFT JOIN l USING (class)
 """,
-    "source_manifest": "SELECT concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, 'modified' AS state FROM documents WHERE text IS NOT NULL AND (n_chars IS NULL OR n_chars <> length(text))",
+    "source_manifest": f"WITH d AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, text FROM documents WHERE text IS NOT NULL), e AS (SELECT path, text AS e FROM d WHERE doc_id % 11 <> 0), a AS (SELECT path, regexp_replace(text, '^{_WS}|{_WS}$', '', 'g') AS a FROM d WHERE doc_id % 13 <> 0), s AS (SELECT path, CASE WHEN a IS NULL THEN 'missing' WHEN e IS NULL THEN 'extra' WHEN e <> a THEN 'modified' END AS state FROM e FULL JOIN a USING (path)) SELECT * FROM s WHERE state IS NOT NULL",
     "sources_by_language": "SELECT coalesce(lower(lang), '?') AS lang, doc_kind, count(*) AS documents, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars FROM documents GROUP BY ALL",
 }

@@ -89,7 +89,7 @@ def test_keyed_hashes(spark):
 def test_short_text_pairs(spark):
     rows = spark.createDataFrame([("a", "we have the very same words"), ("b", "we have the very same words"), ("c", "we have the very same words"), ("d", "too short"), ("e", None)], "id string, t string")
     roots = spark.createDataFrame([("b", "a"), ("a", "a")], "id string, root string")
-    assert {tuple(r) for r in records.short_text_pairs(rows, roots, F.col("t"), T.word_count(F.col("t"))).collect()} == {("a", "c")}
+    assert {tuple(r) for r in records.short_text_pairs(rows.where(F.length("t") >= 20).withColumnRenamed("t", "key"), roots).collect()} == {("a", "c")}
 
 
 def test_word_grams(spark):
@@ -159,14 +159,15 @@ def test_similar_classes_equal_brute_force(spark):
 def test_exposure(spark):
     private = spark.createDataFrame([("p", "our secret plan leaks now"), ("q", "hush hush"), ("r", None)], "id string, t string")
     public = spark.createDataFrame([("a", "the Secret  plan leaks now again"), ("b", "secret plan"), ("c", "say hush hush"), ("d", None)], "id string, t string")
-    got = {tuple(r) for r in exposure.exposed(public, "id", "t", exposure.private_grams(private, "t")).collect()}
-    assert got == {("a", 1), ("c", 1)}
+    targets = exposure.unpivot(public, "out", "id", {"t": F.col("t")})
+    got = {tuple(r) for r in exposure.output_exposure(targets, private.select(F.col("t").alias("value")), ("id",), ()).collect()}
+    assert got == {("out", "a", "t", "private_text"), ("out", "c", "t", "private_text")}
 
 
 def test_running_total_and_order(spark):
     rows = spark.createDataFrame([(f"k{k:03d}", k) for k in range(100)], "k string, n bigint")
-    assert {r.k: r.total for r in links.running_total(rows, "k", "n").collect()}["k099"] == 4950
-    placed = experiments.keyed_order(rows, "k", "key").collect()
+    assert {r.k: r.total for r in links.running_total(rows, "k", "n", Scratch(spark)).collect()}["k099"] == 4950
+    placed = experiments.keyed_order(rows, "k", "key", Scratch(spark)).collect()
     assert sorted(r.position for r in placed) == list(range(100)) and [r.id for r in sorted(placed, key=lambda r: r.position)] != sorted(r.id for r in placed)
 
 
