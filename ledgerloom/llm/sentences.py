@@ -1,11 +1,13 @@
 """Sentence units across languages and scripts.
 
-Layout comes first: blank lines, list markers and heading signs end units for certain. Inside a paragraph every end mark that white
-space or a script without spaces follows, and every space in a script without end marks, is a place of a hidden event: boundary or
-none. The n-gram model of the events is counted over the whole collection from the places that layout decides: words before a paragraph's
+Layout comes first: blank lines, list markers and heading signs end units for certain. Inside a paragraph every gap between words is a place of a hidden event, boundary or
+none: behind end marks, at spaces of scripts without end marks, and behind words without any mark. The n-gram model of the events is counted over the whole collection from
+the places that layout decides: words before a paragraph's
 end, words at its start, and words elsewhere. A word that stands before marks often but never before a paragraph's end doesn't end
-sentences; a word that starts paragraphs may start sentences. Forward-backward over a paragraph's places, with a prior
-on the lengths of sentences, gives the posterior of each event. Quoted or bracketed text has no places inside.
+sentences; a word that starts paragraphs may start sentences. How often a sentence ends without a mark is what paragraphs of sentences show at their ends. Forward-backward over
+a paragraph's places, with a prior
+on the lengths of sentences, gives the posterior of each event. Gaps without a mark whose own odds are against a boundary can't get a posterior above one half, as boundaries
+nearby only speak against one another, and are left out of the recursion. Quoted or bracketed text has no places inside.
 
 Counts are summed by n-gram and kept with fingerprints of 64 bits, so no n-gram reads the counts of another. The model has 16 bytes for each different
 n-gram; their number grows more slowly than the collection.
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+_LEAST_WORDS = 8  # of a paragraph that tells of ends without marks
 _HELD = 1 << 18  # n-grams that a task holds before it sends their counts
 TABLES = ("place", "end", "start", "middle")
 
@@ -264,11 +267,16 @@ def count_events(text: str, counts: dict[str, Counter]) -> None:
                 for gram in (f"thai1 {tail[-4:]}", f"thai2 {tail[-8:]}", "thai0"):
                     end_counts[gram] += 1
         marked = True
-        for token in part.split():
+        words = part.split()
+        for token in words:
             gram, ending = _inner(token, flat)
             if gram and not marked:
                 middle_counts[gram] += 1
             marked = ending
+        # a paragraph of sentences with marks whose last one has none; those without any mark may be headings
+        if not marked and not whole and found and len(words) >= _LEAST_WORDS and _bare(words[-1]):
+            end_counts[f"none1 {gram}"] += 1
+            end_counts["none0"] += 1
 
 
 @lru_cache(maxsize=200_000)
@@ -278,6 +286,12 @@ def _inner(token: str, flat: bool) -> tuple[str, bool]:
     return gram, bool(_MARK.search(token[-3:]))
 
 
+@lru_cache(maxsize=200_000)
+def _bare(token: str) -> bool:
+    """Whether a word has a letter at its end and no mark, in a script with spaces between words: there may be a boundary behind it that nothing shows."""
+    return token[-1:].isalpha() and not _NO_SPACE.match(token) and not _THAI_LETTER.search(token)
+
+
 class Counts:
     """How often each n-gram of a table was counted, by fingerprint.
 
@@ -296,6 +310,22 @@ class Counts:
         return float(self.numbers[k]) if k < len(self.prints) and self.prints[k] == own else 0.0
 
 
+class _Cached(dict):
+    """What a function gives for a word, computed once; forgotten when there are too many words."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = self.of(word)
+        return out
+
+
+_SMOOTH = 200.0  # occurrences that all words' share counts for
+
+
 class EventModel:
     """Log odds of a boundary at a place, from the tables of certain events."""
 
@@ -307,6 +337,9 @@ class EventModel:
         ends = sum(tables["end"][f"{k}0"] for k in ("sure", "stop"))
         #: How many of the boundaries are at a paragraph's end.
         self.rate = min(0.5, max(0.02, ends / max(1.0, ends + sum(tables["place"][f"{k}0"] for k in ("sure", "stop")))))
+        #: How often a boundary is at a gap without a mark.
+        self.bare = min(0.2, tables["end"]["none0"] / max(1.0, self.rate * tables["middle"].total))
+        self.gaps = {flat: (_Cached(lambda w, f=flat: self._bare_before(w, f)), _Cached(lambda w, f=flat: self._bare_after(w, f))) for flat in (False, True)}
         self.starts, self.middles = max(1.0, tables["start"].total), max(1.0, tables["middle"].total)
 
     @lru_cache(maxsize=200_000)
@@ -351,20 +384,48 @@ class EventModel:
             return max(-5.0, min(5.0, log(back_s / back_m)))
         return max(-7.0, min(7.0, log(s / m)))
 
+    def _bare_before(self, token: str, flat: bool) -> float:
+        """Log odds of a boundary behind a word that has no mark: the share of its occurrences that is at a paragraph's end, smoothed by that of all words."""
+        gram, _ = _inner(token, flat)
+        if not _bare(token):
+            return -100.0
+        p = (self.tables["end"][f"none1 {gram}"] + _SMOOTH * self.bare) / (self.rate * self.tables["middle"][gram] + _SMOOTH)
+        p = min(0.9, max(1e-9, p))
+        return log(p / (1 - p))
+
+    def _bare_after(self, token: str, flat: bool) -> float:
+        return self._after(_inner(token, flat)[0]) if token[0].isalpha() and not _NO_SPACE.match(token) and not _THAI_LETTER.match(token) else -100.0
+
+    def bare_places(self, text: str) -> list[tuple[float, int, int]]:
+        """(log odds, end of a word, start of the next) of the gaps between words without a mark where a boundary is more likely than none; at the others no
+        posterior can exceed one half, as neighbouring boundaries only speak against one another."""
+        words = text.split()
+        before, after = self.gaps[text.islower()]
+        if not any(before[a] + after[b] > 0 for a, b in zip(words, words[1:])):
+            return []
+        quoted, out, last = spans(text), [], None
+        for m in _TOKEN.finditer(text):
+            if last and (odds := before[last.group()] + after[m.group()]) > 0 and not any(a < last.end() <= b for a, b in quoted):
+                out.append((odds, last.end(), m.start()))
+            last = m
+        return out
+
     def odds(self, p: Place) -> float:
         return self._before(p.kind, p.one, p.two) + self._after(p.after)
 
     def boundaries(self, text: str) -> list[tuple[int, int]]:
         """(end of a sentence, start of the next) in a paragraph, where the posterior of the event exceeds one half."""
-        found = [p for p in places(text)[0] if p.next < len(text) and p.at < len(text)]
-        if not found:
+        events = [(p.at, p.next, self.odds(p)) for p in places(text)[0] if p.next < len(text) and p.at < len(text)]
+        events += [(at, nxt, odds) for odds, at, nxt in self.bare_places(text)]
+        if not events:
             return []
-        odds = [self.odds(p) for p in found]
+        events.sort()
+        odds = [o for _, _, o in events]
         # words since the place before
         gaps, at = [], 0
-        for p in found:
-            gaps.append(sum(1 for _ in _WORD.finditer(text, at, p.at)))
-            at = p.at
+        for end, _, _ in events:
+            gaps.append(sum(1 for _ in _WORD.finditer(text, at, end)))
+            at = end
         short = [-6.0 if g == 0 else -0.7 if g == 1 else 0.0 for g in gaps]
         # forward: log weights of (none, boundary) at each place; two boundaries in a row pay for a short sentence
         forward, none, bound = [], 0.0, 0.0
@@ -374,15 +435,15 @@ class EventModel:
             else:
                 none, bound = _add(none, bound), o + _add(none, bound + short[k])
             forward.append((none, bound))
-        backward = [(0.0, 0.0)] * len(found)
-        for k in range(len(found) - 2, -1, -1):
+        backward = [(0.0, 0.0)] * len(events)
+        for k in range(len(events) - 2, -1, -1):
             n1, b1 = backward[k + 1]
             step = odds[k + 1] + b1
             backward[k] = (_add(n1, step), _add(n1, step + short[k + 1]))
         out = []
-        for p, (fn, fb), (bn, bb) in zip(found, forward, backward):
+        for (at, nxt, _), (fn, fb), (bn, bb) in zip(events, forward, backward):
             if fb + bb > fn + bn:
-                out.append((p.at, p.next))
+                out.append((at, nxt))
         return out
 
     def units(self, text: str) -> list[tuple[int, int]]:

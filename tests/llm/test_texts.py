@@ -209,6 +209,16 @@ def test_spaces_of_scripts_without_marks_are_places():
     assert [p.at for p in sentences.places("ဒီနေ့ကောင်းတယ်။ သွားမယ်။")[0] if p.kind == "sure"] == [15, 24]
 
 
+def test_boundaries_without_marks_are_found_where_the_collection_has_them(spark):
+    ends, starts = ("home", "done", "there"), ("Then", "So", "We")
+    rows = [f"{a} stay here now and {b}. {c} talk of things and go {d}" for a in starts for b in ends for c in starts for d in ends for _ in range(40)]
+    model = sentences.learn_events(_docs(spark, [(k, f"{t}\n\n{k}") for k, t in enumerate(rows)]))
+    text = "We talk of things and go home Then stay here now and go there"
+    assert [text[a:b] for a, b in model.units(text)] == ["We talk of things and go home", "Then stay here now and go there"]
+    text = "We talk of things and (go home Then stay) there"
+    assert len(model.units(text)) == 1
+
+
 def test_units_of_documents(spark, model):
     docs = _docs(spark, [(1, None), (2, ""), (3, "The cat sat. It ate."), (3, "The cat sat. It ate."), (None, "We left"), (5, "The cat sat. " * 20_000)])
     got = sentences.sentence_units(docs, model).collect()
