@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.scratch import Scratch
+
 #: White space at the ends of ids, beyond ASCII as well.
 _EDGES = r"^[\s\p{Z}\u200b\ufeff]+|[\s\p{Z}\u200b\ufeff]+$"
 
@@ -83,7 +85,7 @@ def _month(ts: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
-def orphan_references(tables: dict[str, DataFrame], retracted: DataFrame, references=LEDGER_REFERENCES, salts: int = 16) -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], retracted: DataFrame, references=LEDGER_REFERENCES, salts: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """(ref_table, ref_field, record_id, target_id, reason, period), one row per record, field and target.
 
     tables: name -> rows with id, loaded_at and the reference fields; extra columns are not read.
@@ -91,7 +93,7 @@ def orphan_references(tables: dict[str, DataFrame], retracted: DataFrame, refere
     first load, null where no load time is known. A reference whose record or
     target has no load time is never late. Empty tables give an empty result.
 
-    One target may hold any share of the references: groups are aggregated map-side, and the labels are
+    With scratch, the references are made once and written; without, each table is read twice. One target may hold any share of the references: groups are aggregated map-side, and the labels are
     joined back over `salts` copies of each label.
     """
     children = (
@@ -100,6 +102,8 @@ def orphan_references(tables: dict[str, DataFrame], retracted: DataFrame, refere
         .agg(F.min("load").alias("first_load"))
         .withColumn("period", _month(F.col("first_load")))
     )
+    if scratch is not None:
+        children = scratch.save(children)
     nothing = F.lit(None).cast("timestamp")
     months = F.lit(None).cast("string")
     long = children.select("parent_table", F.col("target_id").alias("key"), F.lit(0).alias("parent"), F.lit(0).alias("gone"), nothing.alias("load"), F.col("period").alias("child_month"))

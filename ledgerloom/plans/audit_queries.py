@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import checks as C
 from ledgerloom.functions import text as T
 from ledgerloom.functions import urls as U
-from ledgerloom.operators import exposure, issues, links, records, summaries
+from ledgerloom.operators import exposure, issues, links, records, similar, summaries
 from ledgerloom.operators.references import match_key
 from ledgerloom.operators.scratch import Scratch
 from ledgerloom.plans import sql_text as X
@@ -115,7 +115,7 @@ def url_faults(spark, folder):
 
 
 def url_reach(spark, folder):
-    hosts = _addressed(spark, folder).select(U.host(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = _first(spark, folder, "source_ledger", "url").select(U.host(F.col("url")).alias("host")).where("host is not null").distinct()
     return hosts.select("host", U.reach(F.col("host")).alias("reach"))
 
 
@@ -223,9 +223,18 @@ def citation_crossing(spark, folder):
     return links.first_crossing(links.running_total(own, "id", "citations", Scratch(spark)), "id", 100)
 
 
+def near_duplicate_records(spark, folder):
+    """Pairs of texts of the ledger, nine tenths alike in length and in runs of five words, whose records no group links."""
+    scratch = Scratch(spark)
+    own, _, roots = _groups(spark, folder)
+    keyed = own.select("id", T.duplicate_text_key(F.col("captured_text")).alias("text"))
+    pairs, members = similar.similar_classes(keyed, scratch, "id", "text", least_words=12)
+    return similar.between_groups(pairs, members, keyed.select("id", F.length("text").alias("length")), roots, 0.9)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (field_issues, issue_summary, issue_report, parsed_times, url_identity, url_faults, url_reach, platform_families, thread_identities, community_mismatches, private_exposure, publishable_records, ledger_fingerprint, private_conflicts, wtp_citations, counter_queries, root_clashes, non_representative_citations, stance_mismatches, quote_faults, citation_crossing)
+    for f in (field_issues, issue_summary, issue_report, parsed_times, url_identity, url_faults, url_reach, platform_families, thread_identities, community_mismatches, private_exposure, publishable_records, ledger_fingerprint, private_conflicts, wtp_citations, counter_queries, root_clashes, non_representative_citations, stance_mismatches, quote_faults, citation_crossing, near_duplicate_records)
 }
 
 
@@ -319,7 +328,20 @@ def _exposure_sql() -> str:
 
 
 _TIME = "try_strptime(substr(t, 1, 19), '%Y-%m-%dT%H:%M:%S')"
+def _near_sql() -> str:
+    grams = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))"
+    return (
+        f"WITH RECURSIVE {_L}, {_LINKS}, w AS (SELECT id, k, string_split(lower(k), ' ') AS w FROM dup), nd AS (SELECT id, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS class, length(k) AS n, {grams} AS g FROM w WHERE len(w) >= 12), "
+        "c AS MATERIALIZED (SELECT nd.id AS class, n, g, coalesce(root, nd.id) AS root FROM nd LEFT JOIN roots USING (id) WHERE nd.id = class), s AS MATERIALIZED (SELECT class, len(g) AS m, unnest(g) AS x FROM c), "
+        "p AS (SELECT a.class AS a, b.class AS b FROM s a JOIN s b ON a.x = b.x AND a.class < b.class GROUP BY ALL HAVING count(*) >= 0.9 * (any_value(a.m) + any_value(b.m) - count(*)) - 1e-9) "
+        "SELECT p.a, p.b, x.root AS root_a, y.root AS root_b FROM p JOIN c x ON x.class = p.a JOIN c y ON y.class = p.b WHERE least(x.n, y.n) >= 0.9 * greatest(x.n, y.n) - 1e-9 AND x.root <> y.root"
+    )
+
+
+_SPECIAL = "regexp_matches(host, '^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\\.|^100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.|^169\\.254\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.|^192\\.(168|0\\.0|0\\.2|88\\.99)\\.|^198\\.(1[89]|51\\.100)\\.|^203\\.0\\.113\\.')"
 SQL = {
+    "near_duplicate_records": _near_sql(),
+    "url_reach": f"WITH {_L}, h AS (SELECT DISTINCT nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://([^/?#:@]+)', 1), '\\.+$', ''), '') AS host FROM l), m AS (SELECT DISTINCT host FROM h WHERE host IS NOT NULL) SELECT host, CASE WHEN regexp_full_match(host, '([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}') THEN CASE WHEN {_SPECIAL} THEN 'private' ELSE 'public' END WHEN NOT contains(host, '.') OR regexp_matches(host, '(^|\\.)(home\\.arpa|internal|lan|local|localdomain|localhost)$') OR regexp_full_match(host, '(0x[0-9a-f]+|[0-9]+)(\\.(0x[0-9a-f]+|[0-9]+))*') THEN 'private' ELSE 'public' END AS reach FROM m",
     "field_issues": f"{_issues_sql()} SELECT * FROM issues",
     "issue_summary": f"{_issues_sql()} SELECT table_name, field, fault, count(*) AS n FROM issues GROUP BY ALL",
     "issue_report": f"{_issues_sql()}, r AS (SELECT row_number() OVER (ORDER BY fault, table_name, field, id) AS rank, * FROM issues) SELECT CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 100 THEN '' ELSE table_name END AS table_name, CASE WHEN rank > 100 THEN '' ELSE id END AS id, CASE WHEN rank > 100 THEN '' ELSE field END AS field, CASE WHEN rank > 100 THEN 'issue_limit' ELSE fault END AS fault FROM r WHERE rank <= 101",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators import experiments, similar
 from ledgerloom.operators.scratch import Scratch
+from ledgerloom.plans import sql_text as X
 from ledgerloom.sources.tables import read_table
 
 
@@ -71,6 +72,7 @@ _WS = "[\\x09-\\x0d\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2
 _FLAT = f"trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}', ' ', 'g'))"
 _LOW = f"lower(trim(regexp_replace(text, '{_WS}', ' ', 'g')))"
 SQL = {
+    "changed_by_normal_form": f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND ({X.nfkc('text')}) <> text",
     "text_statistics": f"WITH t AS (SELECT doc_id, {_FLAT} AS f FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(CASE WHEN f = '' THEN 0 ELSE len(string_split(f, ' ')) END AS INTEGER) AS words, CAST(length(f) AS INTEGER) AS flat_chars, 'sha256:' || sha256(f) AS flat_hash FROM t",
     "control_characters": "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(replace(text, '-', chr(8206)), '!', chr(7)) WHEN doc_id % 7 < 3 THEN replace(text, '-', chr(8206)) ELSE text END AS t FROM documents), c AS (SELECT doc_id, regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]') AS control, regexp_matches(t, '[\\x{61c}\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]') AS direction FROM t) SELECT * FROM c WHERE control OR direction",
     "mail_addresses": "WITH c AS (SELECT id, len(regexp_extract_all(' ' || captured_text, '[^A-Za-z0-9_](?:[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})(?:[^A-Za-z0-9_]|$)')) AS addresses, len(regexp_extract_all(regexp_replace(' ' || captured_text, '([^0-9 .()-])', '\\1\\1', 'g'), '[^A-Za-z0-9_](?:\\+?[0-9][0-9 .()\\-]{7,}[0-9])(?:[^A-Za-z0-9_]|$)')) AS numbers FROM source_ledger) SELECT id, max(addresses) AS addresses, max(numbers) AS numbers FROM c GROUP BY id HAVING max(addresses) > 0 OR max(numbers) > 0",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.references import LEDGER_REFERENCES, orphan_references, orphan_report
+from ledgerloom.operators.scratch import Scratch
 from ledgerloom.sources.tables import read_table
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     names = dict.fromkeys([r.table for r in LEDGER_REFERENCES] + [r.parent for r in LEDGER_REFERENCES])
-    return orphan_references({n: read_table(spark, folder, n) for n in names}, read_table(spark, folder, "retracted_ids"))
+    return orphan_references({n: read_table(spark, folder, n) for n in names}, read_table(spark, folder, "retracted_ids"), scratch=Scratch(spark))
 
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:

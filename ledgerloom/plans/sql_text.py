@@ -22,7 +22,7 @@ def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
         if form != ch and len(form) == 1:
             one.append(ch)
             to.append(form)
-        elif form != ch and "LATIN" in unicodedata.name(ch, "") or form != ch and cp in (0x2026, 0x2122, 0x2116, 0xBC, 0xBD, 0xBE):
+        elif form != ch and "LATIN" in unicodedata.name(ch, "") or form != ch and cp in (0x2026, 0x2122, 0x2116, 0xBC, 0xBD, 0xBE, 0xE33, 0xEB3):
             several.append((ch, form))
     return "".join(one), "".join(to), several
 
@@ -35,7 +35,7 @@ def literal(text: str) -> str:
 
 
 def nfkc(x: str) -> str:
-    """Compatibility normal form of letters and signs of one character, of Latin ligatures and some signs."""
+    """Compatibility normal form of letters and signs of one character, of Latin ligatures, two vowels and some signs."""
     out = f"translate({x}, {literal(_ONE)}, {literal(_TO)})"
     for ch, form in _SEVERAL:
         out = f"replace({out}, {literal(ch)}, {literal(form)})"
