@@ -53,6 +53,7 @@ class BytePairEncoder:
         self.automaton.make_automaton()
         self._learn_merges()
         self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _learn_merges(self) -> None:
         """self.halves[t]: the two tokens merged into t, (t, t) for a single byte; self.merged[(a, b)]: the token of that merge;
@@ -103,6 +104,16 @@ class BytePairEncoder:
                 else:
                     right = inner
 
+    def stand_together(self, left: int, right: int) -> bool:
+        """compatible() from a table of the pairs met so far."""
+        key = left << 32 | right
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            found = self.pairs[key] = self.compatible(left, right)
+        return found
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
         whole = self.ids.get(data)
@@ -112,7 +123,7 @@ class BytePairEncoder:
         longest = [-1] * n
         for end, (length, rank) in self.automaton.iter(data.decode("latin-1")):
             longest[end - length + 1] = rank  # later matches at a start are longer
-        tokens, shorter, compatible = self.tokens, self.shorter, self.compatible
+        tokens, shorter, compatible = self.tokens, self.shorter, self.stand_together
         reachable = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
