@@ -40,6 +40,17 @@ class Scratch:
         back.scratch_path = path
         return back
 
+    def mark(self) -> int:
+        """A point that release() goes back to."""
+        return self._n
+
+    def release(self, mark: int, *kept: DataFrame) -> None:
+        """Deletes the tables saved since a mark, but for those that are still needed: what save() returned."""
+        needed = {df.scratch_path for df in kept}
+        for k in range(mark + 1, self._n + 1):
+            if (path := f"{self.folder}/{k}") not in needed:
+                self._delete(path)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that save() returned."""
         self._delete(df.scratch_path)

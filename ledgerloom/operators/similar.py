@@ -36,6 +36,7 @@ def similar_classes(rows: DataFrame, scratch: Scratch, id_column: str, text: str
     n - ceil(threshold * n) + 1. Only those are joined, and only with texts of a size that can reach the threshold. Candidates are
     verified by joining the whole sets, as hashes of 64 bits.
     """
+    mark = scratch.mark()
     words = F.split(F.lower(F.regexp_replace(F.trim(F.col(text)), r"\s+", " ")), " ")
     own = rows.where(F.col(text).isNotNull() & (F.size(words) >= max(size, least_words))).select(F.col(id_column).alias("id"), F.md5(F.array_join(words, " ")).alias("key"), F.transform(word_grams(F.col(text), size), lambda x: F.xxhash64(x)).alias("grams"))
     heads = own.groupBy("key").agg(F.min_by(F.struct("id", "grams"), "id").alias("x"))
@@ -56,7 +57,9 @@ def similar_classes(rows: DataFrame, scratch: Scratch, id_column: str, text: str
     shared = F.size(F.array_intersect("ga", "gb")).cast("bigint")
     total = (F.size("ga") + F.size("gb")).cast("bigint")
     pairs = both.select("a", "b", shared.alias("shared"), (total - 2 * shared).alias("apart")).where(F.col("shared") >= threshold * (F.col("shared") + F.col("apart")) - 1e-9)
-    return pairs, members
+    saved_pairs, saved_members = scratch.save(pairs), scratch.save(members)
+    scratch.release(mark, saved_pairs, saved_members)
+    return saved_pairs, saved_members
 
 
 def between_groups(pairs: DataFrame, members: DataFrame, texts: DataFrame, roots: DataFrame, length_ratio: float) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ledgerloom.functions import checks as C
 from ledgerloom.functions import text as T
 from ledgerloom.functions import urls as U
-from ledgerloom.operators import exposure, issues, links, records, similar, summaries
+from ledgerloom.operators import contracts, exposure, issues, links, records, similar, summaries
 from ledgerloom.operators.references import match_key
 from ledgerloom.operators.scratch import Scratch
 from ledgerloom.plans import sql_text as X
@@ -232,9 +233,32 @@ def near_duplicate_records(spark, folder):
     return similar.between_groups(pairs, members, keyed.select("id", F.length("text").alias("length")), roots, 0.9)
 
 
+_CONTRACT = StructType([
+    StructField("id", StringType(), False), StructField("name", StringType(), False), StructField("level", StringType(), False), StructField("citations", ArrayType(StringType(), False), False),
+    StructField("claim", StructType([StructField("statement", StringType(), True), StructField("count", LongType(), False)]), False),
+])
+
+
+def contract_faults(spark, folder):
+    """The signals as JSON texts against a contract, spoiled by the length of their names: types, nulls, unknown and missing keys, repeated keys."""
+    own = _first(spark, folder, "signal_catalog", "name", "claimed_level", "support_citations", "wtp_statement")
+    k = F.length("name") % 7
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    claim = F.concat(F.lit('{"statement":'), F.when(F.col("wtp_statement").isNull(), "null").otherwise(value(F.col("wtp_statement"))), F.when(k == 2, "").otherwise(F.concat(F.lit(',"count":'), F.when(k == 3, "1.5").otherwise("2"))), F.when(k == 4, ',"more":1').otherwise(""), F.lit("}"))
+    text = F.concat(F.lit('{"id":'), value(F.col("id")), F.lit(',"name":'), F.when(k == 5, "null").otherwise(value(F.col("name"))), F.lit(',"level":'), F.when(k == 1, "7").otherwise(value(F.col("claimed_level"))), F.lit(',"citations":'), F.to_json("support_citations"), F.lit(',"claim":'), claim, F.when(k == 6, ',"id":1').otherwise(""), F.lit("}"))
+    return contracts.document_faults(own.select("id", text.alias("text")), "id", "text", _CONTRACT)
+
+
+def id_set_faults(spark, folder):
+    """Ids of records that some of three places lack: the ledger, the query log's inclusions and the catalog's support."""
+    key = lambda c: match_key(F.col(c)).alias("key")
+    linked = lambda t, f: read_table(spark, folder, t).select(F.explode(f).alias("x")).select(key("x"))
+    return contracts.set_faults({"catalog": linked("signal_catalog", "support_citations"), "ledger": read_table(spark, folder, "source_ledger").select(key("id")), "queries": linked("query_log", "included_source_ids")})
+
+
 QUERIES = {
     f.__name__: f
-    for f in (field_issues, issue_summary, issue_report, parsed_times, url_identity, url_faults, url_reach, platform_families, thread_identities, community_mismatches, private_exposure, publishable_records, ledger_fingerprint, private_conflicts, wtp_citations, counter_queries, root_clashes, non_representative_citations, stance_mismatches, quote_faults, citation_crossing, near_duplicate_records)
+    for f in (field_issues, issue_summary, issue_report, parsed_times, url_identity, url_faults, url_reach, platform_families, thread_identities, community_mismatches, private_exposure, publishable_records, ledger_fingerprint, private_conflicts, wtp_citations, counter_queries, root_clashes, non_representative_citations, stance_mismatches, quote_faults, citation_crossing, near_duplicate_records, contract_faults, id_set_faults)
 }
 
 
@@ -342,6 +366,8 @@ _SPECIAL = "regexp_matches(host, '^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\\.
 SQL = {
     "near_duplicate_records": _near_sql(),
     "url_reach": f"WITH {_L}, h AS (SELECT DISTINCT nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://([^/?#:@]+)', 1), '\\.+$', ''), '') AS host FROM l), m AS (SELECT DISTINCT host FROM h WHERE host IS NOT NULL) SELECT host, CASE WHEN regexp_full_match(host, '([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}') THEN CASE WHEN {_SPECIAL} THEN 'private' ELSE 'public' END WHEN NOT contains(host, '.') OR regexp_matches(host, '(^|\\.)(home\\.arpa|internal|lan|local|localdomain|localhost)$') OR regexp_full_match(host, '(0x[0-9a-f]+|[0-9]+)(\\.(0x[0-9a-f]+|[0-9]+))*') THEN 'private' ELSE 'public' END AS reach FROM m",
+    "contract_faults": f"WITH {_S}, k AS (SELECT id, length(name) % 7 AS k, support_citations AS c FROM s) SELECT id, '$.level' AS path, 'wrong_type' AS fault FROM k WHERE k = 1 UNION ALL SELECT id, '$.claim', 'missing:count' FROM k WHERE k = 2 UNION ALL SELECT id, '$.claim.count', 'wrong_type' FROM k WHERE k = 3 UNION ALL SELECT id, '$.claim', 'unknown:more' FROM k WHERE k = 4 UNION ALL SELECT id, '$.name', 'null' FROM k WHERE k = 5 UNION ALL SELECT id, '$', 'json:repeated_key' FROM k WHERE k = 6 UNION ALL SELECT id, '$.citations[]', 'null' FROM k WHERE k <> 6 AND len(list_filter(c, lambda y: y IS NULL)) > 0",
+    "id_set_faults": f"WITH k AS (SELECT {_KEY.format('x')} AS key, 'catalog' AS t FROM (SELECT unnest(support_citations) AS x FROM signal_catalog) UNION SELECT {_KEY.format('id')}, 'ledger' FROM source_ledger UNION SELECT {_KEY.format('x')}, 'queries' FROM (SELECT unnest(included_source_ids) AS x FROM query_log)), g AS (SELECT key, list(t) AS h FROM k WHERE key <> '' GROUP BY key) SELECT key, array_to_string(list_filter(['catalog', 'ledger', 'queries'], lambda y: NOT list_contains(h, y)), ';') AS lacking FROM g WHERE len(h) < 3",
     "field_issues": f"{_issues_sql()} SELECT * FROM issues",
     "issue_summary": f"{_issues_sql()} SELECT table_name, field, fault, count(*) AS n FROM issues GROUP BY ALL",
     "issue_report": f"{_issues_sql()}, r AS (SELECT row_number() OVER (ORDER BY fault, table_name, field, id) AS rank, * FROM issues) SELECT CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 100 THEN '' ELSE table_name END AS table_name, CASE WHEN rank > 100 THEN '' ELSE id END AS id, CASE WHEN rank > 100 THEN '' ELSE field END AS field, CASE WHEN rank > 100 THEN 'issue_limit' ELSE fault END AS fault FROM r WHERE rank <= 101",

@@ -106,6 +106,11 @@ def _fault_of(batch: pa.Array) -> pa.Array:
     return pa.array([None if x is None else check_json(x) for x in batch.to_pylist()], pa.string())
 
 
+def json_fault(text: Column) -> Column:
+    """check_json() of a column, null for acceptable texts and for null."""
+    return _fault_of(text)
+
+
 def type_fault(value: Column, kind: DataType) -> Column:
     """`wrong_type` where a value (a variant) isn't of a declared type: nothing is converted. Null is of every type. Whole numbers have no point or exponent."""
     name = F.schema_of_variant(value)

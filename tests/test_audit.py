@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 from ledgerloom.functions import checks as C
 from ledgerloom.functions import text as T
 from ledgerloom.functions import urls as U
-from ledgerloom.operators import experiments, exposure, issues, links, records, references, summaries
+from ledgerloom.operators import contracts, experiments, exposure, issues, links, records, references, summaries
 from ledgerloom.operators.scratch import Scratch
 from ledgerloom.sources import reports, strict_json
 
@@ -253,3 +253,29 @@ def test_fingerprint_of_confusable_rows(spark):
     two = summaries.fingerprint(spark.createDataFrame([("ab", "c")], "x string, y string"), ["x", "y"]).first()
     none = summaries.fingerprint(spark.createDataFrame([], "x string, y string"), ["x", "y"]).first()
     assert len({one.fingerprint, two.fingerprint, none.fingerprint}) == 3 and none.n == 0
+
+
+def test_documents_against_a_contract(spark):
+    good = {"a": "x", "n": None, "f": 1, "b": True, "l": ["y"], "o": {"k": 1}}
+    cases = {"ok": good, "int": {**good, "n": 1.5}, "keys": {k: v for k, v in good.items() if k != "a"} | {"z": 1}, "deep": {**good, "o": {"k": "1", "m": 2}}, "list": {**good, "l": ["y", 1, 2, None]}, "flat": {**good, "o": 3}}
+    rows = [(k, json.dumps(v)) for k, v in cases.items()] + [("bad", "{"), ("none", None), ("array", "[]")]
+    contract = StructType([StructField("a", StringType(), False), *KIND.fields[1:4], StructField("l", ArrayType(StringType(), False)), KIND["o"]])
+    got = {tuple(r) for r in contracts.document_faults(spark.createDataFrame([(*r, "x") for r in rows], "id string, text string, path string"), "id", "text", contract).collect()}
+    assert got == {
+        ("int", "$.n", "wrong_type"), ("keys", "$", "missing:a"), ("keys", "$", "unknown:z"), ("deep", "$.o", "unknown:m"), ("deep", "$.o.k", "wrong_type"), ("list", "$.l[]", "wrong_type"), ("list", "$.l[]", "null"), ("flat", "$.o", "wrong_type"),
+        ("bad", "$", "json:syntax"), ("none", "$", "null"), ("array", "$", "json:no_object"),
+    }
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "id string")
+    assert {tuple(r) for r in contracts.set_faults({"a": ids("1", "2", None), "b": ids("2", "3", "3")}).collect()} == {("1", "b"), ("3", "a")}
+
+
+def test_scratch_releases_what_is_no_longer_needed(spark):
+    scratch = Scratch(spark)
+    before = scratch.save(spark.range(1))
+    mark = scratch.mark()
+    one, two = scratch.save(spark.range(2)), scratch.save(spark.range(3))
+    scratch.release(mark, two)
+    there = lambda df: os.path.isdir(df.scratch_path.removeprefix("file://"))
+    assert there(before) and there(two) and not there(one) and two.count() == 3
+    scratch.close()
+    assert not there(before)
