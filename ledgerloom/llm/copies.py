@@ -244,6 +244,7 @@ def formatting_copies(rows: DataFrame, scratch: Scratch, text: str = "captured_t
     same. Equal stored values are copies; repeated deliveries are one record. Other columns are not read.
     A group may hold any share of the rows: it is pre-aggregated, and spread over up to `salts` tasks.
     """
+    mark = scratch.mark()
     keys = scratch.save(content_keys(rows, text, url))
     # A text that is no list may have the words of one; it then belongs to that list's class. Lists of one key are spread by their own key's salts.
     lists = keys.where(F.col("list_key").isNotNull()).groupBy("field", "key").agg(F.min("list_key").alias("of_list"), F.min("id").alias("list_id"))
@@ -254,6 +255,7 @@ def formatting_copies(rows: DataFrame, scratch: Scratch, text: str = "captured_t
     members = salted.join(spread, ["field", "key", "salt"], "left").select("field", "id", against, F.when(F.col("of_list").isNotNull(), F.concat(F.lit(b"L"), "of_list")).otherwise(F.concat(F.lit(b"W"), "key")).alias("class"))
     pairs = scratch.save(_grouped(members, salts))
     checked = scratch.save(_compare(pairs, rows, text, url, salts))
+    scratch.release(mark, checked)
     wrong = checked.where(~F.col("same")).select("field", F.col("copy_id").alias("id"), F.lit(None).cast("string").alias("against"), F.concat("class", F.unhex(F.sha2("proof", 256))).alias("class"))
     return checked.where("same").select("field", "keep_id", "copy_id").unionByName(_grouped(wrong, salts).select("field", "keep_id", "copy_id"))
 

@@ -33,7 +33,9 @@ def form_members(rows: DataFrame, scratch: Scratch, scores: ScriptScores = NO_SC
 
 def _equal_looking_pairs(rows: DataFrame, scratch: Scratch, fields: tuple[str, ...], scores: ScriptScores) -> DataFrame:
     # Pairs are made of stored values, and then of their records.
+    mark = scratch.mark()
     members = scratch.save(form_members(rows, scratch, scores, fields))
+    scratch.release(mark, members)
     kinds = members.select("field", "form", "stored").distinct()
     pairs = kinds.withColumnRenamed("stored", "s1").join(kinds.withColumnRenamed("stored", "s2"), ["field", "form"]).where("s1 < s2")
     one = members.select("field", "form", F.col("stored").alias("s1"), F.col("id").alias("x"))

@@ -316,6 +316,7 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, text: str = "captured_tex
     `least_words` words, null and blank ones, and rows without an id have no class; repeated deliveries are one member. Words are those of the
     plain form in lower case. Other columns are not read. No links give empty pairs.
     """
+    mark = scratch.mark()
     texts = rows.where(F.col("id").isNotNull() & not_blank(F.col(text))).select("id", F.col(text).alias("text"))
     table = common_shingles(texts, size, least_words)
     all_sketches = scratch.save(sketches(texts, table, size, least_words, share, extra, threshold))
@@ -324,9 +325,10 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, text: str = "captured_tex
         .withColumn("owner", F.xxhash64("class"))
     )
     members = scratch.save(all_sketches.select("class", "id").distinct())
-    scratch.drop(all_sketches)
     pairs = scratch.save(_filtered(_candidates(classes, scratch, list_limit, threshold), classes, table, threshold))
-    return scratch.save(_verified(pairs, texts, size, threshold)), members
+    verified = scratch.save(_verified(pairs, texts, size, threshold))
+    scratch.release(mark, verified, members)
+    return verified, members
 
 
 def near_duplicate_records(rows: DataFrame, scratch: Scratch) -> DataFrame:
