@@ -100,6 +100,10 @@ def _sums(values: np.ndarray, n: int, by: np.ndarray) -> np.ndarray:
     return np.bincount(by[values], minlength=n)
 
 
+def _any_of(codes: np.ndarray, signs: str) -> np.ndarray:
+    return np.logical_or.reduce([codes == ord(x) for x in signs])
+
+
 def _first_at(where: np.ndarray, by: np.ndarray, n: int, none: np.ndarray) -> np.ndarray:
     """The first of ascending places in each text or part, `none` where there is none."""
     out = none.copy()
@@ -111,10 +115,10 @@ def _first_at(where: np.ndarray, by: np.ndarray, n: int, none: np.ndarray) -> np
 def _list_keys(chars: Chars) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """(whether, hashes): texts that are lists of two or more `label: value` fields, and the hashes that leave the fields' order out."""
     # only texts with a colon and a sign between fields
-    colons, cuts = (np.bincount(chars.doc[np.isin(chars.code, list(map(ord, signs)))], minlength=chars.n) > 0 for signs in (":", "|;\r\n"))
+    colons, cuts = (np.bincount(chars.doc[_any_of(chars.code, signs)], minlength=chars.n) > 0 for signs in (":", "|;\r\n"))
     at = np.nonzero((colons & cuts)[chars.doc])[0]
     code, doc, flags = chars.code[at], chars.doc[at], chars.flags[at]
-    cut = np.isin(code, list(map(ord, "|;\r\n")))
+    cut = _any_of(code, "|;\r\n")
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | cut[1:] | cut[:-1]
     part = np.cumsum(fresh) - 1

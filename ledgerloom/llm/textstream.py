@@ -38,6 +38,16 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
+def _mix_table(seed: int) -> np.ndarray:
+    return mix(np.arange(_TOP), seed)
+
+
+def _mixed(codes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """mix() of characters, from a table."""
+    return _mix_table(seed)[codes] if not len(codes) or codes.max() < _TOP else mix(codes, seed)
+
+
 @lru_cache(maxsize=1)
 def _plain_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, number, characters): the plain characters of each code point, marks apart."""
@@ -275,7 +285,7 @@ class WordStreams:
         place = place - np.maximum.accumulate(base) + 1
         out = []
         for k in range(2):
-            values = mix(self.code, seed=k)
+            values = _mixed(self.code, seed=k)
             with np.errstate(over="ignore"):
                 terms = values * _power_of(k, place)
                 terms[self.first] += _GAP * _power_of(k, place[self.first] - 1)
@@ -289,7 +299,7 @@ class WordStreams:
         starts = np.nonzero(self.first)[0]
         place = np.arange(len(self.doc)) - np.repeat(starts, np.diff(np.append(starts, len(self.doc))))
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mix(self.code) * _power_of(0, place), starts)
+            sums = np.add.reduceat(_mixed(self.code) * _power_of(0, place), starts)
         return self.doc[starts], mix(sums)
 
     def same_as(self, other: WordStreams) -> np.ndarray:
