@@ -13,7 +13,7 @@ from ledgerloom.operators.scratch import Scratch
 from ledgerloom.plans import sql_text as X
 from ledgerloom.sources.tables import read_table
 
-_COLUMNS = ("platform", "community", "url", "visibility", "unit_id", "thread_id", "published_at", "author_key", "captured_text", "excerpt", "stance", "repost_of", "duplicate_reviews")
+_COLUMNS = ("platform", "community", "url", "visibility", "unit_id", "thread_id", "published_at", "author_key", "captured_text", "excerpt", "stance", "repost_of", "duplicate_reviews", "source_file_sha256", "record_ref")
 
 
 def _records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -46,6 +46,7 @@ def _groups(spark, folder):
     parts = records.union_all([
         records.declared_links(own),
         records.star_links(own.where("visibility = 'public'"), F.col("unit_id"), "unit"),
+        records.star_links(own.where("visibility = 'supplied_private' and source_file_sha256 <> '' and record_ref <> ''"), F.concat_ws("\0", "source_file_sha256", "record_ref"), "provenance"),
         records.star_links(keyed.where(_long_text(F.col("text_key"))), F.md5("text_key"), "text"),
     ])
     found = scratch.save(parts)
@@ -141,6 +142,12 @@ def url_canonical(spark, folder):
     return _records(spark, folder, "url").where("url is not null").select("id", U.canonical(F.col("url")).alias("u")).select("id", "u.canonical", "u.error")
 
 
+def address_groups(spark, folder):
+    """Public records of one canonical address, however it is written."""
+    own = _records(spark, folder, "url", "visibility").where("visibility = 'public'").select("id", U.canonical(F.col("url")).alias("u")).where("u.canonical is not null")
+    return own.groupBy("u.canonical").agg(F.count("*").alias("records"), F.min("id").alias("first_id")).where("records > 1")
+
+
 def thread_concentration(spark, folder):
     return summaries.concentration(_records(spark, folder, "community", "thread_id"), "community", "thread_id")
 
@@ -179,7 +186,7 @@ def top_threads(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (repeated_deliveries, link_mismatches, late_publications, platform_mismatches, repeated_executions, review_conflicts, repost_faults, repost_cycles, group_representatives, group_reasons, short_text_pairs, conflicting_units, excerpt_faults, exact_text_groups, url_hosts, url_parameters, url_canonical, thread_concentration, coverage, citation_running_total, signal_support, one_sided_signal_links, top_threads)
+    for f in (repeated_deliveries, link_mismatches, late_publications, platform_mismatches, repeated_executions, review_conflicts, repost_faults, repost_cycles, group_representatives, group_reasons, short_text_pairs, conflicting_units, excerpt_faults, exact_text_groups, url_hosts, url_parameters, url_canonical, address_groups, thread_concentration, coverage, citation_running_total, signal_support, one_sided_signal_links, top_threads)
 }
 
 _L = "l AS (SELECT * FROM source_ledger WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)"
@@ -191,7 +198,7 @@ _FLAT = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 _DUP = "dup AS MATERIALIZED (SELECT id, " + X.duplicate_key("captured_text") + " AS k FROM l WHERE captured_text IS NOT NULL)"
 _LINKS = (
     _DUP + ", d AS (SELECT id AS a, " + _KEY.format("repost_of") + " AS k, 'repost' AS reason FROM l UNION ALL SELECT a, " + _KEY.format("r.other_source_id") + ", 'review' FROM (SELECT id AS a, unnest(duplicate_reviews) AS r FROM l) WHERE r.decision = 'same_source'), "
-    "unit AS (SELECT id, unit_id AS k, 'unit' AS reason FROM l WHERE visibility = 'public' AND unit_id IS NOT NULL UNION ALL SELECT id, k, 'text' FROM dup WHERE length(k) >= 80 AND " + X.words("k") + " >= 12), "
+    "unit AS (SELECT id, unit_id AS k, 'unit' AS reason FROM l WHERE visibility = 'public' AND unit_id IS NOT NULL UNION ALL SELECT id, source_file_sha256 || chr(1) || record_ref, 'provenance' FROM l WHERE visibility = 'supplied_private' AND source_file_sha256 <> '' AND record_ref <> '' UNION ALL SELECT id, k, 'text' FROM dup WHERE length(k) >= 80 AND " + X.words("k") + " >= 12), "
     "star AS (SELECT min(id) OVER (PARTITION BY k, reason) AS a, id AS b, reason FROM unit), "
     "links AS (SELECT d.a, l.id AS b, d.reason FROM d JOIN l ON lower(trim(l.id)) = d.k WHERE d.a <> l.id UNION ALL SELECT * FROM star WHERE a <> b), "
     "ends AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links), "
