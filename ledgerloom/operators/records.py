@@ -39,19 +39,26 @@ def declared_links(records: DataFrame) -> DataFrame:
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, other: str, salts: int = 256) -> DataFrame:
     """rows joined with a table that has one row for each key. A key may have any share of the rows: its table row is sent to as many salts as its
-    rows have, at most `salts`, so neither side gathers it."""
+    rows have, at most `salts`, so neither side gathers it. Where no key is known to have many rows, `salts` may be 1: a plain join with the same result."""
+    if salts == 1:
+        return rows.join(table, key)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
     spread = salted.select(key, "salt").distinct().join(table, key)
     return salted.join(spread, [key, "salt"]).drop("salt")
 
 
-def _star(links: DataFrame, both_ways: bool) -> DataFrame:
+_HUB = 100_000  # links from which on a node is split
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _star(links: DataFrame, both_ways: bool, salts: int) -> DataFrame:
     """(b, a), b > a: every node's neighbours linked to the smallest node among them and itself; of each node all larger neighbours (both_ways), or the smaller ones and itself."""
-    near = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    if both_ways:
-        near = near.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    near = _ends(links) if both_ways else links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = lookup(near, "u", least, "v")
+    met = lookup(near, "u", least, "v", salts)
     if both_ways:
         moved = met.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:
@@ -66,14 +73,17 @@ def spread_labels(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> D
     a round made is written to the shared folder once. Rows that link an id with itself or with null don't count.
     """
     now = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct())
-    state = None
+    state, salts = None, 256
     for _ in range(max_rounds):
-        after = scratch.save(_star(_star(now, True), False))
+        after = scratch.save(_star(_star(now, True, salts), False, salts))
         scratch.drop(now)
         now = after
-        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        degrees = _ends(now).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"))
+        *was, most = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
         if was == state:
             return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+        # a round at most squares what a node has; only nodes far from being hubs are joined plainly
+        state, salts = was, 1 if (most or 0) ** 2 < _HUB else 256
     raise RuntimeError(f"links still change after {max_rounds} rounds")
 
 

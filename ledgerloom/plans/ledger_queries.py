@@ -40,9 +40,10 @@ def _long_text(key):
 
 
 def _groups(spark, folder):
-    own = _records(spark, folder)
     scratch = Scratch(spark)
-    keyed = own.select("id", T.duplicate_text_key(F.col("captured_text")).alias("text_key"))
+    own = scratch.save(_records(spark, folder))
+    # made once: the key's expression would be evaluated anew at each use
+    keyed = scratch.save(own.select("id", T.duplicate_text_key(F.col("captured_text")).alias("text_key")))
     parts = records.union_all([
         records.declared_links(own),
         records.star_links(own.where("visibility = 'public'"), F.col("unit_id"), "unit"),
