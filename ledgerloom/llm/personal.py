@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.plainform import NO_SCORES, ScriptScores, plain_with_offsets
 from ledgerloom.operators.scratch import Scratch
 
-KINDS = ("name", "email", "phone", "id_number", "address")
 #: What a disclosing term may leave of an entity's information, as (share of it, bits that are always allowed): words of an item itself, against all words;
 #: family names that are beside a given name which is known, or as long as only the list's given names are known; words that only announce
 #: a number, against all announced numbers.
